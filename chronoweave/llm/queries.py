@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from .mixing import mix_sources
+from .pii import pii_digest
 from .quality_rules import STOP_WORDS, quality_rules
 
 
@@ -20,9 +21,14 @@ def op7_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii_digest(_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op7_mix_sources": op7_mix_sources,
+    "op10_pii": op10_pii,
 }
 
 _STOP = ", ".join(f"'{w}'" for w in STOP_WORDS)
