@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .decontaminate import benchmark_passages
+from .html_text import extract_text
 from .mixing import mix_sources
 from .near_dedup import simhash_components
 from .pii import pii_digest
@@ -33,6 +34,10 @@ def op7_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op9_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_text(_table(spark, sf_dir, "pages"))
+
+
 def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii_digest(_table(spark, sf_dir, "documents"))
 
@@ -42,6 +47,7 @@ QUERIES = {
     "op3_simhash": op3_simhash,
     "op6_decontaminate": op6_decontaminate,
     "op7_mix_sources": op7_mix_sources,
+    "op9_html_text": op9_html_text,
     "op10_pii": op10_pii,
 }
 
