@@ -11,6 +11,8 @@ from .mixing import mix_sources
 from .near_dedup import simhash_components
 from .pii import pii_digest
 from .quality_rules import STOP_WORDS, quality_rules
+from .shared import shared_dir
+from .warc import write_archive
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,6 +28,11 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    archive = write_archive(_table(spark, sf_dir, "pages"), shared_dir(spark, "warc"))
+    return archive.records(payload=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return benchmark_passages(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
@@ -45,6 +52,7 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op3_simhash": op3_simhash,
+    "op5_warc": op5_warc,
     "op6_decontaminate": op6_decontaminate,
     "op7_mix_sources": op7_mix_sources,
     "op9_html_text": op9_html_text,
