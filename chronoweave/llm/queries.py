@@ -7,11 +7,14 @@ from pyspark.sql import functions as F
 
 from .decontaminate import benchmark_passages
 from .html_text import extract_text
+from .language import fit_languages, identify_languages
 from .mixing import mix_sources
 from .near_dedup import simhash_components
 from .pii import pii_digest
+from .quality_model import fit_quality, score_quality
 from .quality_rules import STOP_WORDS, quality_rules
 from .shared import shared_dir
+from .splits import remainder
 from .warc import write_archive
 
 
@@ -28,6 +31,12 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    found = identify_languages(docs, fit_languages(docs))
+    return found.select("doc_id", (remainder(F.col("doc_id"), 5) == 0).alias("held_out"), "lang_pred", "score")
+
+
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     archive = write_archive(_table(spark, sf_dir, "pages"), shared_dir(spark, "warc"))
     return archive.records(payload=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
@@ -41,6 +50,13 @@ def op7_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op8_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = fit_quality(docs, _table(spark, sf_dir, "labels"))
+    score = F.col("_quality_score")
+    return score_quality(docs, model).select("doc_id", (remainder(F.col("doc_id"), 5) == 0).alias("held_out"), score.alias("score"), (score >= 0.3).cast("int").alias("predicted"))
+
+
 def op9_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_text(_table(spark, sf_dir, "pages"))
 
@@ -52,9 +68,11 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op3_simhash": op3_simhash,
+    "op4_language": op4_language,
     "op5_warc": op5_warc,
     "op6_decontaminate": op6_decontaminate,
     "op7_mix_sources": op7_mix_sources,
+    "op8_quality_model": op8_quality_model,
     "op9_html_text": op9_html_text,
     "op10_pii": op10_pii,
 }
