@@ -12,6 +12,8 @@ from .text import n_words
 
 #: Hexadecimal digits of the key that make a range: 4096 ranges a source.
 KEY_RANGE_DIGITS = 3
+#: Sources up to which the table of cuts is broadcast (some 200 bytes each).
+BROADCAST_SOURCES = 100_000
 
 
 def targets(sizes: DataFrame, weights: Sequence[float], cap: float) -> DataFrame:
@@ -46,6 +48,25 @@ def mix_key(doc_id: Column) -> Column:
     return F.md5(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary"))
 
 
+def _parts(docs: DataFrame, weights: Sequence[float], cap: float) -> DataFrame:
+    """doc_id, source, size, _key, source_size, target, _epochs and _part (the words of the cut) of every row."""
+    measured = docs.select("doc_id", "source", n_words(F.col("text")).alias("size")).withColumn("_key", mix_key(F.col("doc_id")))
+    rows = persisted(measured.withColumn("_range", F.substring("_key", 1, KEY_RANGE_DIGITS)), "mix")
+    ranges = rows.groupBy("source", "_range").agg(F.sum("size").alias("_words"))
+    budget = targets(ranges.groupBy("source").agg(F.sum("_words").alias("source_size")), weights, cap)
+    prefix = Window.partitionBy("source").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    starts = ranges.withColumn("_start", F.coalesce(F.sum("_words").over(prefix), F.lit(0))).alias("r")
+    plan = starts.join(budget.alias("b"), F.expr("r.source <=> b.source")).select("r.source", "_range", "_start", "source_size", "target")
+    within = Window.partitionBy("source", "_range").orderBy("_key", F.col("doc_id").asc_nulls_first(), "size").rowsBetween(Window.unboundedPreceding, -1)
+    placed = rows.withColumn("_inner", F.coalesce(F.sum("size").over(within), F.lit(0))).alias("d")
+    words = F.round("target").cast("long")
+    epochs = F.when(F.col("source_size") > 0, F.expr("cast(round(target) as bigint) div greatest(source_size, 1)")).otherwise(F.lit(0))
+    rest = words - epochs * F.col("source_size")
+    part = F.greatest(F.lit(0), F.least(F.col("size"), rest - F.col("_start") - F.col("_inner")))
+    joined = placed.join(plan.alias("p"), F.expr("d.source <=> p.source and d._range = p._range"))
+    return joined.select("doc_id", "d.source", "size", "_key", "source_size", "target", epochs.alias("_epochs"), part.cast("long").alias("_part"))
+
+
 def mix_sources(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), cap: float = 3.0) -> DataFrame:
     """How many words of each document a mix takes.
 
@@ -68,20 +89,28 @@ def mix_sources(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), cap: floa
 
     Returns doc_id, source, size, source_size, target, taken.
     """
-    measured = docs.select("doc_id", "source", n_words(F.col("text")).alias("size")).withColumn("_key", mix_key(F.col("doc_id")))
-    rows = persisted(measured.withColumn("_range", F.substring("_key", 1, KEY_RANGE_DIGITS)), "mix")
-    ranges = rows.groupBy("source", "_range").agg(F.sum("size").alias("_words"))
-    budget = targets(ranges.groupBy("source").agg(F.sum("_words").alias("source_size")), weights, cap)
-    prefix = Window.partitionBy("source").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    starts = ranges.withColumn("_start", F.coalesce(F.sum("_words").over(prefix), F.lit(0))).alias("r")
-    plan = starts.join(budget.alias("b"), F.expr("r.source <=> b.source")).select("r.source", "_range", "_start", "source_size", "target")
-    within = Window.partitionBy("source", "_range").orderBy("_key", F.col("doc_id").asc_nulls_first(), "size").rowsBetween(Window.unboundedPreceding, -1)
-    placed = rows.withColumn("_inner", F.coalesce(F.sum("size").over(within), F.lit(0))).alias("d")
-    words = F.round("target").cast("long")
-    epochs = F.when(F.col("source_size") > 0, F.expr("cast(round(target) as bigint) div greatest(source_size, 1)")).otherwise(F.lit(0))
-    rest = words - epochs * F.col("source_size")
-    part = F.greatest(F.lit(0), F.least(F.col("size"), rest - F.col("_start") - F.col("_inner")))
-    return placed.join(plan.alias("p"), F.expr("d.source <=> p.source and d._range = p._range")).select(
-        "doc_id", "d.source", "size", "source_size", "target", (epochs * F.col("size") + part).cast("long").alias("taken")
-    )
+    taken = (F.col("_epochs") * F.col("size") + F.col("_part")).cast("long")
+    return _parts(docs, weights, cap).select("doc_id", "source", "size", "source_size", "target", taken.alias("taken"))
+
 
+def mixed_documents(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), cap: float = 3.0) -> DataFrame:
+    """The mix itself: the rows of ``docs`` that it takes words of, with size, target and taken.
+
+    A source's cut is one key, so the texts are never sorted or shuffled: rows
+    are compared with the cuts, a row for each source. Rows that share a key
+    with the cut document (repeats of its doc_id) give no more words than it.
+    Columns of ``docs`` named like the new ones are replaced.
+    """
+    parts = persisted(_parts(docs, weights, cap), "mix-parts")
+    cuts = parts.groupBy("source").agg(
+        F.max("target").alias("target"), F.max("_epochs").alias("_epochs"), F.max(F.when(F.col("_part") > 0, F.struct("_key", "_part"))).alias("_cut")
+    )
+    cuts = persisted(cuts.select(F.col("source").alias("_source"), F.col("target").alias("_target"), "_epochs", "_cut"), "mix-cuts")
+    if cuts.count() <= BROADCAST_SOURCES:
+        cuts = F.broadcast(cuts)
+    columns = [c for c in docs.columns if c not in ("size", "target", "taken")]
+    key = mix_key(F.col("doc_id"))
+    part = F.when(key < F.col("_cut._key"), F.col("_size")).when(key == F.col("_cut._key"), F.least(F.col("_size"), F.col("_cut._part"))).otherwise(F.lit(0))
+    taken = (F.col("_epochs") * F.col("_size") + F.coalesce(part, F.lit(0))).cast("long")
+    joined = docs.withColumn("_size", n_words(F.col("text"))).join(cuts, F.expr("source <=> _source"))
+    return joined.select(*[F.col(f"`{c}`") for c in columns], F.col("_size").alias("size"), F.col("_target").alias("target"), taken.alias("taken")).where("taken > 0")
