@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from .decontaminate import benchmark_passages
 from .html_text import extract_text
 from .language import fit_languages, identify_languages
+from .language_model import score_corpus
 from .mixing import mix_sources
 from .near_dedup import simhash_components
 from .pii import pii_digest
@@ -26,6 +27,10 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(_table(spark, sf_dir, "documents"))
 
 
+def op2_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_corpus(_table(spark, sf_dir, "documents"))
+
+
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash_components(_table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -67,6 +72,7 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
+    "op2_language_model": op2_language_model,
     "op3_simhash": op3_simhash,
     "op4_language": op4_language,
     "op5_warc": op5_warc,
