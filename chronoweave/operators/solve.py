@@ -12,7 +12,7 @@ from .features import CHUNK, fetch
 from .gates import overlapping_neighbours
 from .pairs import _piece, _told, edge_score
 
-_SOLVED = "project_id string, clip_index int, position double, group_id int, group_size int, best_quality double, tree string, refused int"
+_SOLVED = "project_id string, clip_index long, position double, group_id int, group_size int, best_quality double, tree string, refused int"
 
 
 def spanning_forest(n: int, lengths: list[float], devices: list[str | None], edges: list[tuple], tolerance: float):

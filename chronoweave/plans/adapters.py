@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -10,10 +10,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def vectors(spark: SparkSession, sf_dir: str, below: int) -> DataFrame:
-    """Embeddings as signals in rows: clip_id, label, i, x. ``below`` bounds vec_id where all pairs and lags are compared."""
-    rows = table(spark, sf_dir, "embeddings").where(F.col("vec_id") < below)
-    return rows.select(F.col("vec_id").alias("clip_id"), "label", F.posexplode("embedding").alias("i", "x")).withColumn("x", F.col("x").cast("double"))
+def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Embeddings as signals in rows: clip_id, label, i, x."""
+    return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("clip_id"), "label", F.posexplode("embedding").alias("i", "x")).withColumn("x", F.col("x").cast("double"))
 
 
 def hourly(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -49,12 +48,17 @@ def shoot(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def recordings(spark: SparkSession, sf_dir: str, below: int = 60) -> DataFrame:
-    """Lines of orders as clips without signal: the supplier is the device, seven years are pressed into times that meet."""
-    rows = table(spark, sf_dir, "lineitem").where(F.col("l_orderkey") <= below)
-    return rows.select(
-        F.lit("recordings").alias("project_id"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).cast("int").alias("clip_index"),
-        F.concat_ws("-", F.col("l_orderkey").cast("string"), F.col("l_linenumber").cast("string")).alias("clip_id"), F.col("l_suppkey").cast("string").alias("track_id"),
+def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of orders, each numbered within its order: l_linenumber repeats."""
+    order = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice")
+    return table(spark, sf_dir, "lineitem").withColumn("line", F.row_number().over(order))
+
+
+def recordings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of orders as clips without signal: a part is a project, its supplier the device, and seven years are pressed into times that meet."""
+    return lines(spark, sf_dir).select(
+        F.col("l_partkey").cast("string").alias("project_id"), (F.col("l_orderkey") * 100 + F.col("line")).alias("clip_index"),
+        F.concat_ws("-", F.col("l_orderkey").cast("string"), F.col("line").cast("string")).alias("clip_id"), F.col("l_suppkey").cast("string").alias("track_id"),
         (F.col("l_quantity") * 60.0).alias("duration_seconds"), F.when(F.col("l_returnflag") != "N", F.unix_timestamp("l_shipdate") / 5000.0).alias("trusted_at"),
     )
 
