@@ -201,19 +201,26 @@ def _probes(plan: Plan, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Record
                     for k in range(0, len(own), step):
                         some = own[k : k + step]
                         slots = (g << 40) | (values[some][:, None] ^ masks[None, :])
-                        yield pa.RecordBatch.from_arrays([pa.array(slots.reshape(-1)), pa.array(np.repeat(fp[some], len(masks)))], ["slot", "fp"])
+                        packed = (units[some] << (4 * np.arange(len(plan.groups)))).sum(axis=1)
+                        columns = (slots.reshape(-1), np.repeat(fp[some], len(masks)), np.repeat(packed, len(masks)))
+                        yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["slot", "fp", "units"])
 
 
 def similar_pairs(fps: DataFrame, radius: int) -> DataFrame:
     """All pairs (a, b), a > b as signed numbers, of distinct fingerprints that differ in at most ``radius`` bits.
 
     ``fps`` has a column fp (long) without repeats or nulls, and should be
-    cheap to read again. A pair can come up more than once. An empty table
-    gives no pairs.
+    cheap to read again. A pair comes up once, in the first group whose
+    threshold it meets. An empty table gives no pairs.
     """
     plan = make_plan(fps, radius)
     only = fps.select("fp")
     index = only.mapInArrow(lambda b: _entries(plan, b), "slot long, fp long").alias("x")
-    probe = only.mapInArrow(lambda b: _probes(plan, b), "slot long, fp long").alias("q")
-    close = F.expr(f"q.slot = x.slot AND q.fp > x.fp AND bit_count(q.fp ^ x.fp) <= {int(radius)}")
+    probe = only.mapInArrow(lambda b: _probes(plan, b), "slot long, fp long, units long").alias("q")
+    close = f"q.slot = x.slot AND q.fp > x.fp AND bit_count(q.fp ^ x.fp) <= {int(radius)}"
+    for g, group in enumerate(plan.groups[:-1]):
+        mask = sum(1 << (63 - bit) for bit in group)
+        mask -= (mask >> 63) << 64
+        close += f" AND (shiftright(q.slot, 40) <= {g} OR bit_count((q.fp ^ x.fp) & {mask}L) >= (shiftright(q.units, {4 * g}) & 15))"
+    close = F.expr(close)
     return probe.join(index.hint("merge"), close).select(F.col("q.fp").alias("a"), F.col("x.fp").alias("b"))

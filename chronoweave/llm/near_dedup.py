@@ -79,7 +79,7 @@ def near_duplicates(docs: DataFrame, radius: int = 7, shingle: int = 5, similari
     """
     rows = persisted(fingerprints(docs, shingle), "fingerprints")
     fps = persisted(rows.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "fps")
-    pairs = persisted(similar_pairs(fps, radius).distinct(), "pairs")
+    pairs = persisted(similar_pairs(fps, radius), "pairs")
     ends = pairs.select(F.col("a").alias("fp")).union(pairs.select(F.col("b").alias("fp"))).distinct()
     wanted = persisted(ends.join(fps, "fp").where("first_id IS NOT NULL"), "ends")
     texts = docs.select(F.col("doc_id").cast("long").alias("first_id"), "text").join(_small(wanted), "first_id")
