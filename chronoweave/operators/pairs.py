@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.correlation import Piece, best_pearson, pearson_at, phase_peak, refine_spans, resample
 from ..options import AlignOptions, GateOptions
+from ..storage import settled
 from .features import CHUNK, fetch
 
 _COARSE = (
@@ -141,7 +142,7 @@ def align(screened: DataFrame, prepared: DataFrame, chunks: DataFrame, opts: Ali
     if known is not None:
         done = known.select("project_id", F.col("i").alias("a_clip_index"), F.col("j").alias("b_clip_index"))
         todo = screened.join(done, ["project_id", "a_clip_index", "b_clip_index"], "left_anti")
-    coarse = coarse_pairs(todo, prepared, opts, gates, compat).persist()  # read for each side's spans and again for the result
+    coarse = settled(coarse_pairs(todo, prepared, opts, gates, compat), "coarse")  # read for each side's spans and again for the result
     new = refined_pairs(coarse, prepared, chunks, opts, compat, chunk)
     found = new if known is None else new.unionByName(known.select(new.columns))
     base = screened.select("project_id", F.col("a_clip_index").alias("i"), F.col("b_clip_index").alias("j"), F.col("a_clip_id").alias("a_id"), F.col("b_clip_id").alias("b_id"), "skipped")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions.correlation import drift_spans, phase_peak
 from ..options import DriftOptions, SyncOptions
+from ..storage import settled
 from .features import CHUNK, fetch
 from .gates import overlapping_neighbours
 from .pairs import _piece, _told, edge_score
@@ -178,7 +179,7 @@ def measure_drift(tree: DataFrame, prepared: DataFrame, chunks: DataFrame, opts:
                     rows.append((r.project_id, f"{r.i}:{r.j}:{k}", r.a_id, r.b_id, r.a_dc, r.b_dc, _told(a), _told(b), *a.native, *b.native))
             yield pd.DataFrame(rows, columns=["project_id", "key", "a_id", "b_id", "a_dc", "b_dc", "a_piece", "b_piece", "a_low", "a_high", "b_low", "b_high"])
 
-    windows = edges.mapInPandas(spans, "project_id string, key string, a_id string, b_id string, a_dc double, b_dc double, a_piece string, b_piece string, a_low long, a_high long, b_low long, b_high long").persist()
+    windows = settled(edges.mapInPandas(spans, "project_id string, key string, a_id string, b_id string, a_dc double, b_dc double, a_piece string, b_piece string, a_low long, a_high long, b_low long, b_high long"), "windows")
     out = windows
     for p in "ab":
         wanted = windows.select("project_id", F.col(f"{p}_id").alias("clip_id"), "key", F.col(f"{p}_low").alias("low"), F.col(f"{p}_high").alias("high"))

@@ -71,3 +71,10 @@ def hidden_clips(spans: DataFrame) -> DataFrame:
     order = Window.partitionBy("track").orderBy("start", "id")
     late = (F.col("start") < F.lag("end").over(order)).cast("int")
     return spans.withColumn("late", late).groupBy("track").agg(F.coalesce(F.sum("late"), F.lit(0)).cast("long").alias("hidden"))
+
+
+def timeline_percent(placements: DataFrame, clips: DataFrame) -> DataFrame:
+    """Left edge and width of each clip as a share of its project's timeline, in percent."""
+    rows = placements.join(clips.select("project_id", "clip_id", "duration_seconds"), ["project_id", "clip_id"])
+    total = F.greatest(F.max(F.col("start_seconds") + F.col("duration_seconds")).over(Window.partitionBy("project_id")), F.lit(1e-9))
+    return rows.select("project_id", "clip_id", (100 * F.col("start_seconds") / total).alias("left"), (100 * F.col("duration_seconds") / total).alias("width"))

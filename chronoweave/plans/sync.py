@@ -12,6 +12,7 @@ from ..operators.gates import gate_stats, screen
 from ..operators.pairs import align
 from ..operators.solve import device_overlaps, disagreements, layout, measure_drift, solve, tree_edges
 from ..options import SyncOptions
+from ..storage import settled
 
 
 @dataclass
@@ -39,19 +40,20 @@ def sync(clips: DataFrame, opts: SyncOptions | None = None, chunks: DataFrame |
     none.
     """
     opts = opts or SyncOptions()
-    prepared = prepare(clips, opts.align).persist()
-    chunks = to_chunks(clips, chunk) if chunks is None else chunks
-    screened = screen(prepared, opts.gates).persist()
-    pairs = align(screened, prepared, chunks, opts.align, opts.gates, opts.compat, known, chunk).persist()
-    solved = solve(prepared, pairs, opts).persist()
-    tree = tree_edges(solved, pairs)
-    placements = layout(prepared, solved, opts)
+    prepared = settled(prepare(clips, opts.align), "prepared")
+    chunks = settled(to_chunks(clips, chunk), "chunks") if chunks is None else chunks  # read for refinement and for drift
+    screened = settled(screen(prepared, opts.gates), "screened")
+    pairs = settled(align(screened, prepared, chunks, opts.align, opts.gates, opts.compat, known, chunk), "pairs")
+    solved = settled(solve(prepared, pairs, opts), "solved")
+    tree = settled(tree_edges(solved, pairs), "tree")
+    placements = settled(layout(prepared, solved, opts), "layout")
     wrong = disagreements(solved, pairs, opts.tolerance)
     if opts.preserve_clip_order:
         wrong = wrong.unionByName(device_overlaps(placements, prepared, opts.tolerance))
     drift = None
     if opts.detect_drift:
         drift = measure_drift(tree, prepared, chunks, opts.drift, opts.compat, chunk).where((F.col("r2") >= opts.drift.report_r2) & (F.abs("ppm") > opts.drift.report_ppm))
+        drift = settled(drift, "drift")
         last = tree.join(drift.select("project_id", "a_id", "b_id", "ppm"), ["project_id", "a_id", "b_id"]).groupBy("project_id", F.col("b_id").alias("clip_id")).agg(F.max_by("ppm", "ordinal").alias("drift_ppm"))
         placements = placements.join(last, ["project_id", "clip_id"], "left")
     else:

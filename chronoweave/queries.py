@@ -93,7 +93,7 @@ def hidden_clips(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def solved(spark: SparkSession, sf_dir: str) -> SyncResult:
-    return sync(shoot(spark, sf_dir), chunk=64)
+    return sync(shoot(spark, sf_dir).persist(), chunk=64)  # fifteen clips
 
 
 def sync_solve(spark: SparkSession, sf_dir: str) -> DataFrame:
