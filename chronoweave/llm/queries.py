@@ -118,6 +118,16 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
     AND CAST(n_distinct AS DOUBLE) / n_words >= 0.35
     AND (n_words < 20 OR CAST(n_dup_lines AS DOUBLE) / n_lines <= 0.6) END AS kept
 FROM f
+""",
+    "op5_warc": """
+WITH p AS (SELECT page_id, coalesce(html, '') AS t FROM pages),
+q AS (SELECT page_id, strlen(t) AS size, sha1(t) AS h, max(page_id) OVER (PARTITION BY t) AS main FROM p),
+v AS (SELECT *, list_transform(range(0, 8), lambda g: CAST('0x' || substr(h, CAST(g * 5 + 1 AS BIGINT), 5) AS BIGINT)) AS five FROM q)
+SELECT page_id, CAST(size AS BIGINT) AS payload_bytes,
+  array_to_string(list_transform(five, lambda x: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', (x >> 15) % 32 + 1, 1) || substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', (x >> 10) % 32 + 1, 1)
+    || substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', (x >> 5) % 32 + 1, 1) || substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', x % 32 + 1, 1)), '') AS payload_digest,
+  CASE WHEN page_id IS NOT DISTINCT FROM main THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id IS DISTINCT FROM main THEN main END AS refers_to
+FROM v
 """,
     "op6_decontaminate": r"""
 WITH d AS (
