@@ -68,6 +68,6 @@ def relink_in_order(wanted: DataFrame, available: DataFrame) -> DataFrame:
     return wanted.groupBy("project_id").cogroup(available.groupBy("project_id")).applyInPandas(run, "project_id string, path string, found string")
 
 
-def take_first_folder(files: DataFrame) -> DataFrame:
+def in_order(files: DataFrame) -> DataFrame:
     """Files in the order of their paths, as a reader would sort them."""
     return files.orderBy(F.collate("path", "UNICODE"))

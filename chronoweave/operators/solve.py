@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -186,8 +187,6 @@ def measure_drift(tree: DataFrame, prepared: DataFrame, chunks: DataFrame, opts:
         out = out.join(fetch(wanted, chunks, chunk).select("project_id", "key", F.col("first").alias(f"{p}_first"), F.col("samples").alias(f"{p}_samples")), ["project_id", "key"])
 
     def measure(frames):
-        import numpy as np
-
         for pdf in frames:
             rows = []
             for r in pdf.itertuples(index=False):
