@@ -1,11 +1,13 @@
-"""Near-duplicate documents by SimHash fingerprints."""
+"""Near-duplicate documents: by SimHash fingerprints, and by their sets of word shingles."""
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -50,11 +52,60 @@ def _small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
+#: Share of the texts that counts of shingles are taken from, the least count, and how many of the most frequent are known to all tasks. They order shingles and so set the cost, never the result.
+SAMPLE, LEAST, FREQUENT = 0.1, 3, 200_000
+
+
+def _shingle_batches(n: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each text's distinct shingle hashes, one a row."""
+    for batch in batches:
+        found = [np.unique(shingle_hashes(t.as_py(), n)) for t in batch.column(0)]
+        if found:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).view(np.int64))], ["shingle"])
+
+
+def _frequent(docs: DataFrame, n: int) -> np.ndarray:
+    """The most frequent shingles of a sample, rarest first."""
+    sample = docs.select("text").sample(SAMPLE, 7).mapInArrow(lambda b: _shingle_batches(n, b), "shingle long")
+    top = sample.groupBy("shingle").agg(F.count("*").alias("n")).where(f"n >= {LEAST}").orderBy(F.desc("n"), "shingle").limit(FREQUENT).collect()
+    return np.array([r["shingle"] for r in reversed(top)], np.int64).view(np.uint64)
+
+
+def _key(own: np.ndarray) -> int:
+    """A signed hash of a set of shingles in order."""
+    return xxhash.xxh3_64_intdigest(own.tobytes()) - (1 << 63)
+
+
 def _set_batches(n: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc_id, text) to (doc_id, the text's distinct shingle hashes in order)."""
+    """(text) to (key, the text's distinct shingle hashes in order)."""
+    for batch in batches:
+        sets = [np.unique(shingle_hashes(t.as_py(), n)) for t in batch.column(0)]
+        yield pa.RecordBatch.from_arrays([pa.array([_key(x) for x in sets], pa.int64()), pa.array([x.tobytes() for x in sets], pa.binary())], ["key", "shingles"])
+
+
+def _row_batches(n: int, similarity: float, frequent, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(doc_id, text) to (doc_id, hash of the set of shingles, its size, its first shingles with rare ones before frequent ones).
+
+    Sets that are ``similarity`` alike share one of their first shingles at least, whatever the order is.
+    """
+    known = frequent.value
+    by_hash = np.argsort(known)
+    ranked = known[by_hash]
     for batch in batches:
-        sets = [np.unique(shingle_hashes(t.as_py(), n)).tobytes() for t in batch.column(1)]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], ["doc_id", "shingles"])
+        keys, sizes, heads = [], [], []
+        for t in batch.column(1):
+            own = np.unique(shingle_hashes(t.as_py(), n))
+            rank = np.zeros(len(own), np.int64)
+            if len(ranked):
+                at = np.minimum(np.searchsorted(ranked, own), len(ranked) - 1)
+                rank = np.where(ranked[at] == own, by_hash[at] + 1, 0)
+            head = len(own) - math.ceil(similarity * len(own) - 1e-9) + 1 if len(own) else 0
+            keys.append(_key(own))
+            sizes.append(len(own))
+            heads.append(own[np.argsort(rank, kind="stable")[:head]].view(np.int64))
+        ends = np.r_[0, np.cumsum([len(h) for h in heads])].astype(np.int32)
+        first = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.empty(0, np.int64), *heads])))
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys, pa.int64()), pa.array(sizes, pa.int32()), first], ["doc_id", "key", "size", "head"])
 
 
 def _verify_batches(similarity: float, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -68,50 +119,91 @@ def _verify_batches(similarity: float, batches: Iterator[pa.RecordBatch]) -> Ite
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["u", "v"]).filter(pa.array(good, pa.bool_()))
 
 
-def near_duplicates(docs: DataFrame, radius: int = 7, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
-    """(fp, first_id, component_id) of every fingerprint: the smallest doc_id reachable over similar texts.
+def _verified(pairs: DataFrame, docs: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """Those of the pairs (u, v) of keys whose sets are similar enough. Sets are made again for these keys alone, as those of all texts are larger than the texts."""
+    pairs = persisted(pairs, "pairs")
+    ends = _small(persisted(pairs.select(F.col("u").alias("key")).union(pairs.select("v")).distinct(), "ends"))
+    sets = docs.select("text").mapInArrow(lambda b: _set_batches(shingle, b), "key long, shingles binary").join(ends, "key")
+    sets = persisted(sets.groupBy("key").agg(F.first("shingles").alias("shingles")), "shingles")
+    first, second = (sets.select(F.col("key").alias(end), F.col("shingles").alias(f"of_{end}")) for end in "uv")
+    both = pairs.join(first, "u").join(second, "v").select("u", "v", "of_u", "of_v")
+    return persisted(both.mapInArrow(lambda b: _verify_batches(similarity, b), "u long, v long"), "links")
 
-    Texts of one fingerprint are one class. Fingerprints within ``radius`` bits
-    are candidates, and link if the sets of word shingles of their first
-    documents are at least ``similarity`` alike (common ones over all). The
-    radius bounds recall: of pairs at a similarity of 0.9 about four in five
-    lie within 7 bits, at 0.8 about two in five.
+
+def _links(classes: DataFrame, docs: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """Links (u, v) between keys, whose components are those of all pairs that are ``similarity`` alike.
+
+    Candidates share a shingle of both heads, and their sizes and its places
+    allow the similarity, so no such pair is missed. Those of each shingle are
+    first compared with two drawn from them, others for each shingle. What
+    these links already join need not be compared again, so that most of a
+    group of near copies is compared at its size and not its square. All other
+    candidates are compared.
     """
-    rows = persisted(fingerprints(docs, shingle), "fingerprints")
-    fps = persisted(rows.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "fps")
-    pairs = persisted(similar_pairs(fps, radius), "pairs")
-    ends = pairs.select(F.col("a").alias("fp")).union(pairs.select(F.col("b").alias("fp"))).distinct()
-    wanted = persisted(ends.join(fps, "fp").where("first_id IS NOT NULL"), "ends")
-    texts = docs.select(F.col("doc_id").cast("long").alias("first_id"), "text").join(_small(wanted), "first_id")
-    sets = texts.select("fp", "text").mapInArrow(lambda b: _set_batches(shingle, b), "doc_id long, shingles binary")
-    sets = persisted(sets.groupBy("doc_id").agg(F.max("shingles").alias("shingles")), "shingles")
-    first, second = (sets.select(F.col("doc_id").alias(end), F.col("shingles").alias(f"of_{end}")) for end in "ab")
-    both = pairs.join(first, "a").join(second, "b").select(F.col("a").alias("u"), F.col("b").alias("v"), "of_a", "of_b")
-    links = both.mapInArrow(lambda b: _verify_batches(similarity, b), "u long, v long")
-    linked = components(links).join(fps.withColumnRenamed("fp", "vertex"), "vertex")
-    roots = linked.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    known = linked.select("vertex", "root").join(roots, "root").select(F.col("vertex").alias("fp"), "component_id")
-    classes = fps.join(known, "fp", "left").select("fp", "first_id", F.coalesce("component_id", "first_id").alias("component_id"))
-    return rows.join(classes, "fp").select("doc_id", "fp", "first_id", "component_id")
+    heads = classes.select("key", "size", F.posexplode("head").alias("at", "shingle"))
+    met = heads.groupBy("shingle").agg(F.count("*").alias("n")).where("n > 1").select("shingle")
+    shared = persisted(heads.join(_small(persisted(met, "met")), "shingle"), "shared")
+    could = (
+        f"least(a.size, b.size) >= {similarity!r}D * greatest(a.size, b.size) - 1e-6D"
+        f" AND least(a.size - a.at, b.size - b.at) * {1 + similarity!r}D >= {similarity!r}D * (a.size + b.size) - 1e-6D"
+    )
+    drawn, one = F.xxhash64("key", "shingle"), F.struct("key", "size", "at")
+    two = shared.groupBy("shingle").agg(F.min_by(one, drawn).alias("low"), F.max_by(one, drawn).alias("high"))
+    stars = shared.alias("a").join(two.select("shingle", F.explode(F.array("low", "high")).alias("b")), "shingle").where(f"a.key <> b.key AND {could}")
+    stars = stars.select(F.greatest("a.key", "b.key").alias("u"), F.least("a.key", "b.key").alias("v")).distinct()
+    links = _verified(stars, docs, shingle, similarity)
+    joined = components(links).select(F.col("vertex").alias("key"), "root")
+    apart = persisted(shared.join(joined, "key", "left").select("shingle", "key", "size", "at", F.coalesce("root", "key").alias("root")), "roots")
+    open_ = apart.groupBy("shingle").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("shingle")
+    left = persisted(apart.join(_small(persisted(open_, "open")), "shingle"), "left")
+    met_by = F.expr(f"a.shingle = b.shingle AND a.key > b.key AND a.root <> b.root AND {could}")
+    rest = left.alias("a").join(left.alias("b"), met_by).select(F.col("a.key").alias("u"), F.col("b.key").alias("v")).distinct()
+    return links.union(_verified(rest, docs, shingle, similarity))
+
+
+def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
+    """(doc_id, key, first_id, root, component_id) of every row: the smallest doc_id reachable over similar texts.
+
+    ``key`` is a 64-bit hash of the set of word shingles; texts of one set are
+    one class. Classes link if their sets are at least ``similarity`` alike
+    (common shingles over all): every such pair, none by fingerprints alone.
+    ``root`` is the smallest key of a component. Its component_id is null if
+    no row of it has a doc_id.
+    """
+    frequent = docs.sparkSession.sparkContext.broadcast(_frequent(docs, shingle))
+    found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(lambda b: _row_batches(shingle, similarity, frequent, b), "doc_id long, key long, size int, head array<long>")
+    rows = persisted(found, "keys")
+    classes = persisted(rows.groupBy("key").agg(F.min("doc_id").alias("first_id"), F.first("size").alias("size"), F.first("head").alias("head")), "classes")
+    linked = components(_links(classes, docs, shingle, similarity)).select(F.col("vertex").alias("key"), "root")
+    known = persisted(classes.select("key", "first_id").join(linked, "key", "left").select("key", "first_id", F.coalesce("root", "key").alias("root")), "known")
+    known = known.join(known.groupBy("root").agg(F.min("first_id").alias("component_id")), "root")
+    return rows.select("doc_id", "key").join(known, "key").select("doc_id", "key", "first_id", "root", "component_id")
+
+
+def _key_batches(n: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(number, text) to (number, hash of the set of shingles)."""
+    for batch in batches:
+        keys = [_key(np.unique(shingle_hashes(t.as_py(), n))) for t in batch.column(1)]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys, pa.int64())], ["_row", "key"])
 
 
-def drop_near_duplicates(docs: DataFrame, radius: int = 7, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
+def drop_near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
     """One row of each class of near-duplicates: the one with the smallest doc_id; the columns as they are.
 
     Of rows that repeat that doc_id one stays. Rows without a doc_id stay if
-    their class has no row with one, one of each fingerprint. Wordless texts
-    are one class.
+    their class has no row with one, one of each class. Wordless texts are one
+    class.
     """
-    classes = persisted(near_duplicates(docs, radius, shingle, similarity), "classes")
+    classes = persisted(near_duplicates(docs, shingle, similarity), "classes")
     dropped = _small(persisted(classes.where("doc_id <> component_id").select("doc_id").distinct(), "dropped"))
     repeated = _small(persisted(classes.where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id"), "repeated"))
     named = docs.where("doc_id IS NOT NULL").join(dropped, "doc_id", "left_anti")
     once = named.join(repeated, "doc_id", "left_anti").select(docs.columns).union(named.join(repeated, "doc_id", "left_semi").select(docs.columns).dropDuplicates(["doc_id"]))
-    known = classes.where("component_id IS NOT NULL").select("fp").distinct()
+    alone = classes.where("component_id IS NULL").select("key", "root").distinct()
     unnamed = docs.where("doc_id IS NULL")
     row = F.to_json(F.struct(*[F.col(f"`{c}`") for c in docs.columns]))
     keyed = unnamed.withColumn("_row", F.xxhash64(row)).select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_all"), "_row", "text")
-    prints = keyed.select(F.col("_row").alias("doc_id"), "text").mapInArrow(lambda b: fingerprint_batches(b, shingle, 42), "doc_id long, fp long")
-    first = prints.join(known, "fp", "left_anti").groupBy("fp").agg(F.min("doc_id").alias("_row")).select("_row")
+    keys = keyed.select("_row", "text").mapInArrow(lambda b: _key_batches(shingle, b), "_row long, key long")
+    first = keys.join(alone, "key").groupBy("root").agg(F.min("_row").alias("_row")).select("_row")
     rest = keyed.join(first, "_row", "left_semi").dropDuplicates(["_row"]).select("_all.*")
     return once.union(rest)

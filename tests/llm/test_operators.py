@@ -144,6 +144,31 @@ def test_near_dedup(make, odd):
     assert drop_near_duplicates(odd).columns == odd.columns
 
 
+def shingle_set(text):
+    ws = (text or "").lower().split()
+    return {tuple(ws[i : i + 5]) for i in range(max(1, len(ws) - 4))} if ws else set()
+
+
+def test_near_dedup_finds_all_links(make):
+    """Against brute force on links at 0.8 to 0.95, in pairs and in one group of copies of a text."""
+    texts = []
+    for seed in range(30):
+        ws = prose(150, 100 + seed).split()
+        rng = np.random.default_rng(seed)
+        texts.append(" ".join(ws))
+        for _ in range(12 if seed == 0 else 1):
+            other = list(ws)
+            for k in rng.choice(len(ws), 1 + seed % 4, replace=False):
+                other[k] = f"new{rng.integers(1 << 30)}"
+            texts.append(" ".join(other))
+    sets = [shingle_set(t) for t in texts]
+    like = {(i, j): len(a & b) / len(a | b) for i, a in enumerate(sets) for j, b in enumerate(sets[:i])}
+    links = [p for p, x in like.items() if x >= 0.8]
+    assert sum(like[p] <= 0.95 for p in links) >= 20
+    got = sorted(r.doc_id for r in drop_near_duplicates(make(list(enumerate(texts)))).collect())
+    assert got == sorted(set(roots(range(len(texts)), links).values()))
+
+
 def test_languages(make):
     de, en = "der hund läuft schnell über die straße und bellt", "the dog runs fast over the street and barks"
     rows = [(i, " ".join(np.random.default_rng(i).permutation((de if i % 2 else en).split() * 5)), "de" if i % 2 else "en", "s", 0) for i in range(60)]
