@@ -169,6 +169,16 @@ def test_near_dedup_finds_all_links(make):
     assert got == sorted(set(roots(range(len(texts)), links).values()))
 
 
+def test_near_dedup_compares_texts_of_one_fingerprint(make):
+    """A line that repeats sets the SimHash, whatever else the texts say."""
+    rows = [(i, f"{line} " * (300 // len(line.split())) + prose(20, i)) for i, line in enumerate(["menu"] * 3 + ["sign up here"] * 3)]
+    rows.append((6, rows[0][1] + " " + rows[0][1]))
+    sets = [shingle_set(t) for _, t in rows]
+    links = [(i, j) for i, a in enumerate(sets) for j, b in enumerate(sets[:i]) if len(a & b) >= 0.8 * len(a | b)]
+    got = sorted(r.doc_id for r in drop_near_duplicates(make(rows)).collect())
+    assert got == sorted(set(roots(range(len(rows)), links).values())) and set(range(6)) <= set(got)
+
+
 def test_languages(make):
     de, en = "der hund läuft schnell über die straße und bellt", "the dog runs fast over the street and barks"
     rows = [(i, " ".join(np.random.default_rng(i).permutation((de if i % 2 else en).split() * 5)), "de" if i % 2 else "en", "s", 0) for i in range(60)]
