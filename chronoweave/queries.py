@@ -65,9 +65,8 @@ def _screened(spark, sf_dir) -> DataFrame:
 
 
 def recording_time_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pairs of all recordings that could meet, by bins of time; clips without a trusted time take no part here."""
-    clips = recordings(spark, sf_dir).where("trusted_at IS NOT NULL")
-    return gates.time_candidates(clips, 3600.0).select(F.col("a_clip_id").alias("a_id"), F.col("b_clip_id").alias("b_id"))
+    """Pairs of all recordings that could meet, by bins of time; clips without a trusted time could meet any."""
+    return gates.time_candidates(recordings(spark, sf_dir), 3600.0).select(F.col("a_clip_id").alias("a_id"), F.col("b_clip_id").alias("b_id"))
 
 
 def gate_rescue(spark: SparkSession, sf_dir: str) -> DataFrame:

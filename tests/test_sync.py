@@ -5,7 +5,9 @@ from shoots import RATE, clip, rows, speech
 from chronoweave.operators.gates import screen, time_candidates
 from chronoweave.operators.solve import spanning_forest
 from chronoweave.options import GateOptions, SyncOptions
+from chronoweave.plans.adapters import recordings
 from chronoweave.plans.sync import sync
+from chronoweave.queries import recording_time_gate
 from chronoweave.schemas import CLIPS
 
 
@@ -77,6 +79,18 @@ def test_gates_and_rescue(spark):
     assert binned == direct
 
 
+def test_recording_time_gate_lets_clips_without_a_time_pass(spark, tmp_path):
+    rng, low = np.random.default_rng(3), np.datetime64("1992-01-01")
+    made = [(k // 4, k % 4, int(rng.integers(3)), int(rng.integers(3)), float(rng.integers(1, 50)), 1.0, "ANR"[rng.integers(3)], (low + int(rng.integers(2500))).item()) for k in range(80)]
+    names = "l_orderkey long, l_linenumber long, l_partkey long, l_suppkey long, l_quantity double, l_extendedprice double, l_returnflag string, l_shipdate date"
+    spark.createDataFrame(made, names).write.parquet(str(tmp_path / "lineitem.parquet"))
+    clips = recordings(spark, str(tmp_path)).collect()
+    span = lambda c: (c.trusted_at - c.duration_seconds - 3600, c.trusted_at + c.duration_seconds + 3600)
+    free = lambda a, b: a.trusted_at is None or b.trusted_at is None or (span(a)[0] <= span(b)[1] and span(b)[0] <= span(a)[1])
+    want = [(a.clip_id, b.clip_id) for a in clips for b in clips if a.project_id == b.project_id and a.clip_index < b.clip_index and a.track_id != b.track_id and free(a, b)]
+    assert sorted((r.a_id, r.b_id) for r in recording_time_gate(spark, str(tmp_path)).collect()) == sorted(want)
+
+
 def test_forest_refuses_to_stack():
     position, owner, used, refused = spanning_forest(3, [10.0, 10.0, 10.0], ["A", "B", "A"], [(0, 1, 2.0, 0.9), (1, 2, 1.0, 0.8), (1, 2, 8.0, 0.7)], 0.02)
     assert used == [0, 2] and refused == 1 and position == [0.0, 2.0, 10.0] and len(set(owner)) == 1
