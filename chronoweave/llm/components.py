@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import persisted
+from .shared import Writer, persisted
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -23,21 +23,21 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return moved.union(least.select("u", F.col("m").alias("v")))
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, write: Writer = persisted) -> DataFrame:
     """(vertex, root) for every vertex of ``edges`` (u, v): the smallest vertex reachable.
 
-    Each round is written to the shared folder, so that plans stay short and
+    Each round is written by ``write``, to the shared folder, so that plans stay short and
     lost executors cost one round. Rounds end when the edges no longer change,
     by a count and a sum of hashes: two numbers reach the driver, no edges do.
     A vertex of very many edges is one join key that adaptive execution splits;
     minima are pre-aggregated. Loops and repeats of edges do no harm; an empty
     table gives no rows.
     """
-    state, now = None, persisted(edges.select("u", "v").where("u <> v").distinct(), "edges")
+    state, now = None, write(edges.select("u", "v").where("u <> v").distinct(), "edges")
     while True:
         row = now.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
         if row["n"] == 0 or (row["n"], row["h"]) == state:
             break
         state = (row["n"], row["h"])
-        now = persisted(_small_star(_large_star(now).where("u <> v").distinct()).where("u <> v").distinct(), "edges")
+        now = write(_small_star(_large_star(now).where("u <> v").distinct()).where("u <> v").distinct(), "edges")
     return now.select(F.col("u").alias("vertex"), F.col("v").alias("root")).union(now.select(F.col("v").alias("vertex"), F.col("v").alias("root")).distinct())

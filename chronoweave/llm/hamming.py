@@ -7,11 +7,15 @@ dynamic programming spends these units unequally over the partitions, by
 estimated candidate counts; a partition without a unit is not probed. Probes
 are all values within T[i] bits, looked up by an equi-join, and candidates are
 verified in the join condition. No pair within the radius is lost.
+
+Where sizes must be alike too, rows meet in buckets of sizes: a row is
+indexed in its own bucket and the next, and asks in its own.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import math
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from itertools import combinations
 from math import comb
@@ -21,10 +25,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .components import components
+from .shared import Writer
+
 #: Numbers of partitions to choose from.
 PARTITIONS = (2, 3, 4, 5, 6, 8)
 #: Relative cost of a probe (a row that is shuffled and sorted, some microseconds) and of a candidate (a comparison in the join, some nanoseconds).
-PROBE, CANDIDATE = 1.0, 0.005
+PROBE, CANDIDATE = 2.0, 0.005
 #: Width of the blocks of bits that value counts are kept of: 256 counts each.
 BLOCK_BITS = 8
 
@@ -68,10 +75,10 @@ def _blocks(group: list[int]) -> list[list[int]]:
 
 @dataclass
 class Plan:
-    """Groups of bits, and for each group the shares of fingerprints at 0 to ``radius`` bits from each value of its blocks."""
+    """``n`` fingerprints that one meets, groups of bits, and for each group the shares of fingerprints at 0 to ``radius`` bits from each value of its blocks."""
 
     radius: int
-    n: int
+    n: float
     groups: list[list[int]]
     near: list[list[np.ndarray]]
 
@@ -134,8 +141,8 @@ def _moments(fps: np.ndarray) -> np.ndarray:
     return np.r_[total.reshape(-1), len(fps)].astype(np.int64)
 
 
-def make_plan(fps: DataFrame, radius: int) -> Plan:
-    """The cheapest plan for a self-join of ``fps`` (a column fp).
+def make_plan(fps: DataFrame, radius: int, meet: float = 1.0) -> Plan:
+    """The cheapest plan for a self-join of ``fps`` (a column fp), each row of which meets a share ``meet`` of the others.
 
     Only sums of bounded number reach the driver: 64 x 64 moments, and 256
     counts for each block of bits of each grouping to choose from. Costs are
@@ -171,56 +178,108 @@ def make_plan(fps: DataFrame, radius: int) -> Plan:
                     drawn[:, m] = (value >> k) & 1
                 at += 1
             near.append(tables)
-        plan = Plan(radius, n, groups, near)
+        plan = Plan(radius, n * meet, groups, near)
         plans.append((plan.allocate(drawn)[1].mean(), len(plans), plan))
     return min(plans)[2]
 
 
-def _entries(plan: Plan, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Every fingerprint under its value in each group."""
+def _slots(plan: Plan, g: int, bucket: np.ndarray, values: np.ndarray) -> np.ndarray:
+    return (bucket.astype(np.int64) << 48) | (g << 40) | values
+
+
+def _entries(plan: Plan, spread: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(key, fp, size, root, bucket) to one row for each group of bits, under its value and the bucket; with ``spread`` under the next buckets too."""
     for batch in batches:
-        fp = batch.column(0).to_numpy(zero_copy_only=False)
-        bits = _bits(fp.view(np.uint64))
+        bits = _bits(batch.column(1).to_numpy(zero_copy_only=False).view(np.uint64))
+        bucket = batch.column(4).to_numpy(zero_copy_only=False)
         for g, group in enumerate(plan.groups):
-            yield pa.RecordBatch.from_arrays([pa.array((g << 40) | _values(bits, group)), pa.array(fp)], ["slot", "fp"])
+            values = _values(bits, group)
+            for more in range(spread + 1):
+                yield pa.RecordBatch.from_arrays([pa.array(_slots(plan, g, bucket + more, values)), *batch.columns[:4]], ["slot", "key", "fp", "size", "root"])
 
 
 def _probes(plan: Plan, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Every fingerprint under all values that its thresholds allow."""
+    """(key, fp, size, root, bucket) under all values that the row's thresholds allow."""
     for batch in batches:
-        every = batch.column(0).to_numpy(zero_copy_only=False)
-        for i in range(0, len(every), 4096):
-            fp = every[i : i + 4096]
-            bits = _bits(fp.view(np.uint64))
+        for i in range(0, batch.num_rows, 4096):
+            rows = batch.slice(i, 4096)
+            bits = _bits(rows.column(1).to_numpy(zero_copy_only=False).view(np.uint64))
+            bucket = rows.column(4).to_numpy(zero_copy_only=False)
             units, _ = plan.allocate(bits)
+            packed = (units << (4 * np.arange(len(plan.groups)))).sum(axis=1)
             for g, group in enumerate(plan.groups):
                 values = _values(bits, group)
                 for u in np.unique(units[:, g][units[:, g] > 0]):
                     own, masks = np.flatnonzero(units[:, g] == u), plan.masks(g, int(u))
-                    step = max(1, (1 << 18) // len(masks))
+                    step = max(1, (1 << 16) // len(masks))
                     for k in range(0, len(own), step):
                         some = own[k : k + step]
-                        slots = (g << 40) | (values[some][:, None] ^ masks[None, :])
-                        packed = (units[some] << (4 * np.arange(len(plan.groups)))).sum(axis=1)
-                        columns = (slots.reshape(-1), np.repeat(fp[some], len(masks)), np.repeat(packed, len(masks)))
-                        yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["slot", "fp", "units"])
-
-
-def similar_pairs(fps: DataFrame, radius: int) -> DataFrame:
-    """All pairs (a, b), a > b as signed numbers, of distinct fingerprints that differ in at most ``radius`` bits.
-
-    ``fps`` has a column fp (long) without repeats or nulls, and should be
-    cheap to read again. A pair comes up once, in the first group whose
-    threshold it meets. An empty table gives no pairs.
+                        slots = _slots(plan, g, bucket[some][:, None], values[some][:, None] ^ masks[None, :]).reshape(-1)
+                        told = rows.take(pa.array(np.repeat(some, len(masks))))
+                        yield pa.RecordBatch.from_arrays([pa.array(slots), *told.columns[:4], pa.array(np.repeat(packed[some], len(masks)))], ["slot", "key", "fp", "size", "root", "units"])
+
+
+#: Rounds in which rows are compared with drawn ones alone, before all pairs that these do not join.
+STARS = 2
+_ENTRY = "slot long, key long, fp long, size int, root long"
+
+
+class _Search:
+    """Rows (key, fp, size, root, bucket), and pairs of them within ``radius`` bits of which the smaller size is ``ratio`` of the larger at least."""
+
+    def __init__(self, state: DataFrame, radius: int, ratio: float):
+        sizes = {r["bucket"]: r["count"] for r in state.groupBy("bucket").count().collect()}  # a row for each factor 1 / ratio of sizes
+        n = sum(sizes.values())
+        meet = sum(c * (c + sizes.get(b - 1, 0)) for b, c in sizes.items()) / max(n, 1) ** 2
+        self.plan, self.spread = make_plan(state, radius, meet), int(ratio > 0)
+        self.near = f"bit_count(q.fp ^ x.fp) <= {int(radius)} AND q.root <> x.root AND least(q.size, x.size) >= {float(ratio)!r}D * greatest(q.size, x.size) - 1e-9D"
+
+    def _entries(self, state: DataFrame, spread: int) -> DataFrame:
+        plan = self.plan
+        return state.mapInArrow(lambda b: _entries(plan, spread, b), _ENTRY)
+
+    def stars(self, state: DataFrame, salt: int) -> DataFrame:
+        """Pairs (u, v, ru, rv) of every key with two drawn ones at most: of the drawn keys of its slots the first in the order of a hash that all slots share, and the nearest."""
+        drawn = F.struct("key", "fp", "size", "root")
+        reps = self._entries(state, self.spread).groupBy("slot").agg(F.min_by(drawn, F.xxhash64("key", F.lit(salt))).alias("x")).select("slot", "x.*")
+        met = self._entries(state, 0).alias("q").join(reps.alias("x"), F.expr(f"q.slot = x.slot AND q.key <> x.key AND {self.near}"))
+        other = F.struct(F.col("x.key").alias("v"), F.col("x.root").alias("rv"))
+        first = F.min_by(other, F.xxhash64("x.key", F.lit(salt)))
+        nearest = F.min_by(other, F.struct(F.expr("bit_count(q.fp ^ x.fp)"), "x.key"))
+        picks = met.groupBy(F.col("q.key").alias("u"), F.col("q.root").alias("ru")).agg(F.array_distinct(F.array(first, nearest)).alias("_to"))
+        return picks.select("u", "ru", F.inline("_to")).select("u", "v", "ru", "rv")
+
+    def pairs(self, state: DataFrame) -> DataFrame:
+        """All pairs (u, v, ru, rv) of keys of different roots. A pair comes up once: the larger size asks, in the first group whose threshold the pair meets."""
+        plan = self.plan
+        asks = state.mapInArrow(lambda b: _probes(plan, b), f"{_ENTRY}, units long").alias("q")
+        close = f"q.slot = x.slot AND (q.size > x.size OR (q.size = x.size AND q.key > x.key)) AND {self.near}"
+        for g, group in enumerate(plan.groups[:-1]):
+            mask = sum(1 << (63 - bit) for bit in group)
+            mask -= (mask >> 63) << 64
+            close += f" AND ((shiftright(q.slot, 40) & 255) <= {g} OR bit_count((q.fp ^ x.fp) & {mask}L) >= (shiftright(q.units, {4 * g}) & 15))"
+        met = asks.join(self._entries(state, self.spread).alias("x").hint("merge"), F.expr(close))
+        return met.select(F.col("q.key").alias("u"), F.col("x.key").alias("v"), F.col("q.root").alias("ru"), F.col("x.root").alias("rv"))
+
+
+def similar_groups(rows: DataFrame, radius: int, write: Writer, ratio: float = 0.0, verify: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """(key, root): the smallest key reachable over links, for every row of ``rows`` (key, fp, size).
+
+    Rows link if their fingerprints differ in at most ``radius`` bits (14 at
+    most), their sizes are ``ratio`` alike, and ``verify`` keeps the pair: it
+    gets (u, v, ru, rv) and gives back those that hold. Keys are distinct.
+
+    Groups of very many are not compared pair by pair: a few rounds compare
+    each row with drawn representatives of its slots, and what is then joined
+    is one group. All pairs within the radius that are still apart are
+    compared at last, so the groups are those of all links.
     """
-    plan = make_plan(fps, radius)
-    only = fps.select("fp")
-    index = only.mapInArrow(lambda b: _entries(plan, b), "slot long, fp long").alias("x")
-    probe = only.mapInArrow(lambda b: _probes(plan, b), "slot long, fp long, units long").alias("q")
-    close = f"q.slot = x.slot AND q.fp > x.fp AND bit_count(q.fp ^ x.fp) <= {int(radius)}"
-    for g, group in enumerate(plan.groups[:-1]):
-        mask = sum(1 << (63 - bit) for bit in group)
-        mask -= (mask >> 63) << 64
-        close += f" AND (shiftright(q.slot, 40) <= {g} OR bit_count((q.fp ^ x.fp) & {mask}L) >= (shiftright(q.units, {4 * g}) & 15))"
-    close = F.expr(close)
-    return probe.join(index.hint("merge"), close).select(F.col("q.fp").alias("a"), F.col("x.fp").alias("b"))
+    bucket = F.floor(F.log("size") / F.lit(-math.log(ratio) * 1.0001)) if ratio else F.lit(0)
+    state = write(rows.select("key", "fp", F.col("size").cast("int").alias("size"), F.col("key").alias("root"), bucket.cast("int").alias("bucket")), "rows")
+    search = _Search(state, radius, ratio)
+    for step in range(STARS + 1):
+        pairs = search.stars(state, step) if step < STARS else search.pairs(state)
+        links = write((verify(pairs) if verify else pairs).select("ru", "rv"), "links")
+        joined = components(links.select(F.col("ru").alias("u"), F.col("rv").alias("v")), write).select(F.col("vertex").alias("root"), F.col("root").alias("to"))
+        state = write(state.join(joined, "root", "left").select("key", "fp", "size", F.coalesce("to", "root").alias("root"), "bucket"), "rows")
+    return state.select("key", "root")

@@ -1,4 +1,4 @@
-"""Near-duplicate documents: by SimHash fingerprints, and by their sets of word shingles."""
+"""Near-duplicate documents by SimHash: groups of like fingerprints, and of texts whose sets of word shingles are alike."""
 
 from __future__ import annotations
 
@@ -11,10 +11,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .components import components
-from .fingerprint import fingerprint_batches, shingle_hashes
-from .hamming import similar_pairs
-from .shared import persisted
+from .fingerprint import BLOCK, fingerprint_batches, shingle_hashes, simhash
+from .hamming import similar_groups
+from .shared import Writer, persisted, scratch
+
+#: Bits within which the fingerprints of two texts are candidates. Sets that are 0.8 alike differ in 9.7 bits of 64 on average, with a deviation of 2.9: about 19 of 20 such pairs are within 14 bits, and nearly all that are more alike.
+RADIUS = 14
+#: Rows up to which a table of ids or keys is broadcast (some 20 bytes each). A larger one is shuffled.
+BROADCAST_ROWS = 1_000_000
 
 
 def fingerprints(docs: DataFrame, shingle: int = 3, seed: int = 42, text: str = "text") -> DataFrame:
@@ -35,175 +39,137 @@ def simhash_components(docs: DataFrame, radius: int = 3, shingle: int = 3) -> Da
     Returns doc_id, fp, component_id.
     """
     rows = persisted(fingerprints(docs, shingle), "fingerprints")
-    fps = persisted(rows.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "fps")
-    pairs = similar_pairs(fps, radius).select(F.col("a").alias("u"), F.col("b").alias("v"))
-    linked = components(pairs).join(fps.withColumnRenamed("fp", "vertex"), "vertex")
-    roots = linked.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    known = linked.select("vertex", "root").join(roots, "root").select(F.col("vertex").alias("fp"), "component_id")
-    classes = fps.join(known, "fp", "left").select("fp", F.coalesce("component_id", "first_id").alias("component_id"))
+    with scratch(docs.sparkSession, "simhash") as write:
+        fps = write(rows.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "fps")
+        groups = similar_groups(fps.select(F.col("fp").alias("key"), "fp", F.lit(1).alias("size")), radius, write).withColumnRenamed("key", "fp")
+        known = write(fps.join(groups, "fp").select("fp", "root", "first_id"), "known")
+        roots = known.groupBy("root").agg(F.min("first_id").alias("component_id"))
+        classes = persisted(known.join(roots, "root").select("fp", "component_id"), "classes")
     return rows.join(classes, "fp").select("doc_id", "fp", "component_id")
 
 
-#: Rows up to which a table of ids is broadcast (some 20 bytes each). A larger one is shuffled.
-BROADCAST_ROWS = 1_000_000
-
-
 def _small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
-#: Share of the texts that counts of shingles are taken from, the least count, and how many of the most frequent are known to all tasks. They order shingles and so set the cost, never the result.
-SAMPLE, LEAST, FREQUENT = 0.1, 3, 200_000
-
-
-def _shingle_batches(n: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Each text's distinct shingle hashes, one a row."""
-    for batch in batches:
-        found = [np.unique(shingle_hashes(t.as_py(), n)) for t in batch.column(0)]
-        if found:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).view(np.int64))], ["shingle"])
-
-
-def _frequent(docs: DataFrame, n: int) -> np.ndarray:
-    """The most frequent shingles of a sample, rarest first."""
-    sample = docs.select("text").sample(SAMPLE, 7).mapInArrow(lambda b: _shingle_batches(n, b), "shingle long")
-    top = sample.groupBy("shingle").agg(F.count("*").alias("n")).where(f"n >= {LEAST}").orderBy(F.desc("n"), "shingle").limit(FREQUENT).collect()
-    return np.array([r["shingle"] for r in reversed(top)], np.int64).view(np.uint64)
-
-
 def _key(own: np.ndarray) -> int:
     """A signed hash of a set of shingles in order."""
     return xxhash.xxh3_64_intdigest(own.tobytes()) - (1 << 63)
 
 
-def _set_batches(n: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(text) to (key, the text's distinct shingle hashes in order)."""
+def _class_batches(n: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(doc_id, text) to (doc_id, hash of the text's set of shingles, its SimHash, its size)."""
     for batch in batches:
-        sets = [np.unique(shingle_hashes(t.as_py(), n)) for t in batch.column(0)]
-        yield pa.RecordBatch.from_arrays([pa.array([_key(x) for x in sets], pa.int64()), pa.array([x.tobytes() for x in sets], pa.binary())], ["key", "shingles"])
+        keys, sizes, fps, held, size = [], [], [], [], 0
+        for t in batch.column(1):
+            held.append(np.unique(shingle_hashes(t.as_py(), n)))
+            keys.append(_key(held[-1]))
+            sizes.append(len(held[-1]))
+            size += sizes[-1]
+            if size >= BLOCK:
+                fps.append(simhash(held))
+                held, size = [], 0
+        fps.append(simhash(held))
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys, pa.int64()), pa.array(np.concatenate(fps).view(np.int64)), pa.array(sizes, pa.int32())], ["doc_id", "key", "fp", "size"])
+
 
+def _set_batches(n: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(text) to (key, the text's distinct shingle hashes in order), some texts at a time."""
 
-def _row_batches(n: int, similarity: float, frequent, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc_id, text) to (doc_id, hash of the set of shingles, its size, its first shingles with rare ones before frequent ones).
+    def told(held: list[np.ndarray]) -> pa.RecordBatch:
+        ends = np.r_[0, np.cumsum([len(x) for x in held])].astype(np.int32)
+        flat = np.concatenate([np.empty(0, np.uint64), *held]).view(np.int64)
+        return pa.RecordBatch.from_arrays([pa.array([_key(x) for x in held], pa.int64()), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], ["key", "shingles"])
 
-    Sets that are ``similarity`` alike share one of their first shingles at least, whatever the order is.
-    """
-    known = frequent.value
-    by_hash = np.argsort(known)
-    ranked = known[by_hash]
     for batch in batches:
-        keys, sizes, heads = [], [], []
-        for t in batch.column(1):
-            own = np.unique(shingle_hashes(t.as_py(), n))
-            rank = np.zeros(len(own), np.int64)
-            if len(ranked):
-                at = np.minimum(np.searchsorted(ranked, own), len(ranked) - 1)
-                rank = np.where(ranked[at] == own, by_hash[at] + 1, 0)
-            head = len(own) - math.ceil(similarity * len(own) - 1e-9) + 1 if len(own) else 0
-            keys.append(_key(own))
-            sizes.append(len(own))
-            heads.append(own[np.argsort(rank, kind="stable")[:head]].view(np.int64))
-        ends = np.r_[0, np.cumsum([len(h) for h in heads])].astype(np.int32)
-        first = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.empty(0, np.int64), *heads])))
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys, pa.int64()), pa.array(sizes, pa.int32()), first], ["doc_id", "key", "size", "head"])
-
-
-def _verify_batches(similarity: float, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(u, v, shingles of u, shingles of v) to the pairs (u, v) that are similar enough."""
-    for batch in batches:
-        good = []
-        for a, b in zip(batch.column(2), batch.column(3)):
-            x, y = (np.frombuffer(s.as_py(), np.uint64) for s in (a, b))
-            common = len(np.intersect1d(x, y, assume_unique=True))
-            good.append(common >= similarity * (len(x) + len(y) - common))
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["u", "v"]).filter(pa.array(good, pa.bool_()))
-
-
-def _verified(pairs: DataFrame, docs: DataFrame, shingle: int, similarity: float) -> DataFrame:
-    """Those of the pairs (u, v) of keys whose sets are similar enough. Sets are made again for these keys alone, as those of all texts are larger than the texts."""
-    pairs = persisted(pairs, "pairs")
-    ends = _small(persisted(pairs.select(F.col("u").alias("key")).union(pairs.select("v")).distinct(), "ends"))
-    sets = docs.select("text").mapInArrow(lambda b: _set_batches(shingle, b), "key long, shingles binary").join(ends, "key")
-    sets = persisted(sets.groupBy("key").agg(F.first("shingles").alias("shingles")), "shingles")
-    first, second = (sets.select(F.col("key").alias(end), F.col("shingles").alias(f"of_{end}")) for end in "uv")
-    both = pairs.join(first, "u").join(second, "v").select("u", "v", "of_u", "of_v")
-    return persisted(both.mapInArrow(lambda b: _verify_batches(similarity, b), "u long, v long"), "links")
-
-
-def _links(classes: DataFrame, docs: DataFrame, shingle: int, similarity: float) -> DataFrame:
-    """Links (u, v) between keys, whose components are those of all pairs that are ``similarity`` alike.
-
-    Candidates share a shingle of both heads, and their sizes and its places
-    allow the similarity, so no such pair is missed. Those of each shingle are
-    first compared with two drawn from them, others for each shingle. What
-    these links already join need not be compared again, so that most of a
-    group of near copies is compared at its size and not its square. All other
-    candidates are compared.
-    """
-    heads = classes.select("key", "size", F.posexplode("head").alias("at", "shingle"))
-    met = heads.groupBy("shingle").agg(F.count("*").alias("n")).where("n > 1").select("shingle")
-    shared = persisted(heads.join(_small(persisted(met, "met")), "shingle"), "shared")
-    could = (
-        f"least(a.size, b.size) >= {similarity!r}D * greatest(a.size, b.size) - 1e-6D"
-        f" AND least(a.size - a.at, b.size - b.at) * {1 + similarity!r}D >= {similarity!r}D * (a.size + b.size) - 1e-6D"
-    )
-    drawn, one = F.xxhash64("key", "shingle"), F.struct("key", "size", "at")
-    two = shared.groupBy("shingle").agg(F.min_by(one, drawn).alias("low"), F.max_by(one, drawn).alias("high"))
-    stars = shared.alias("a").join(two.select("shingle", F.explode(F.array("low", "high")).alias("b")), "shingle").where(f"a.key <> b.key AND {could}")
-    stars = stars.select(F.greatest("a.key", "b.key").alias("u"), F.least("a.key", "b.key").alias("v")).distinct()
-    links = _verified(stars, docs, shingle, similarity)
-    joined = components(links).select(F.col("vertex").alias("key"), "root")
-    apart = persisted(shared.join(joined, "key", "left").select("shingle", "key", "size", "at", F.coalesce("root", "key").alias("root")), "roots")
-    open_ = apart.groupBy("shingle").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("shingle")
-    left = persisted(apart.join(_small(persisted(open_, "open")), "shingle"), "left")
-    met_by = F.expr(f"a.shingle = b.shingle AND a.key > b.key AND a.root <> b.root AND {could}")
-    rest = left.alias("a").join(left.alias("b"), met_by).select(F.col("a.key").alias("u"), F.col("b.key").alias("v")).distinct()
-    return links.union(_verified(rest, docs, shingle, similarity))
-
-
-def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
-    """(doc_id, key, first_id, root, component_id) of every row: the smallest doc_id reachable over similar texts.
+        held, size = [], 0
+        for t in batch.column(0):
+            held.append(np.unique(shingle_hashes(t.as_py(), n)))
+            size += len(held[-1])
+            if size >= 4 * BLOCK:
+                yield told(held)
+                held, size = [], 0
+        yield told(held)
+
+
+def _sets(docs: DataFrame, classes: DataFrame, keys: DataFrame, shingle: int, write: Writer) -> DataFrame:
+    """(key, shingles) of some classes, made again from the text of one document of each. Sets of all texts would be larger than the texts."""
+    wanted = write(classes.join(keys, "key").select("key", "first_id"), "wanted")
+    ids = _small(wanted.where("first_id IS NOT NULL").select(F.col("first_id").alias("doc_id")).distinct())
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    held = texts.join(ids, "doc_id", "left_semi").select("text")
+    if not wanted.where("first_id IS NULL").isEmpty():
+        held = held.union(texts.where("doc_id IS NULL").select("text"))
+    made = held.mapInArrow(lambda b: _set_batches(shingle, b), "key long, shingles array<long>").join(_small(wanted.select("key")), "key", "left_semi")
+    return write(made.dropDuplicates(["key"]), "sets")
+
+
+def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, radius: int = RADIUS) -> DataFrame:
+    """(doc_id, key, root, component_id, rep_key) of every row.
 
     ``key`` is a 64-bit hash of the set of word shingles; texts of one set are
-    one class. Classes link if their sets are at least ``similarity`` alike
-    (common shingles over all): every such pair, none by fingerprints alone.
-    ``root`` is the smallest key of a component. Its component_id is null if
-    no row of it has a doc_id.
+    one class, and no others are, whatever their fingerprints. Classes whose
+    SimHashes lie within ``radius`` bits and whose sizes allow the similarity
+    are candidates, and link if their sets are at least ``similarity`` alike
+    (common shingles over all). Null and wordless texts have an empty set and
+    are one class. ``root`` is the smallest key reachable over links,
+    ``component_id`` the smallest doc_id there, null if no row of it has one,
+    and ``rep_key`` the smallest key with that doc_id.
+
+    Representatives are compared first and only what these leave apart pair
+    by pair, so a group of near copies costs about its size and not its
+    square, and no table of pairs or sets outlives the call.
     """
-    frequent = docs.sparkSession.sparkContext.broadcast(_frequent(docs, shingle))
-    found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(lambda b: _row_batches(shingle, similarity, frequent, b), "doc_id long, key long, size int, head array<long>")
-    rows = persisted(found, "keys")
-    classes = persisted(rows.groupBy("key").agg(F.min("doc_id").alias("first_id"), F.first("size").alias("size"), F.first("head").alias("head")), "classes")
-    linked = components(_links(classes, docs, shingle, similarity)).select(F.col("vertex").alias("key"), "root")
-    known = persisted(classes.select("key", "first_id").join(linked, "key", "left").select("key", "first_id", F.coalesce("root", "key").alias("root")), "known")
-    known = known.join(known.groupBy("root").agg(F.min("first_id").alias("component_id")), "root")
-    return rows.select("doc_id", "key").join(known, "key").select("doc_id", "key", "first_id", "root", "component_id")
+    named = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    rows = persisted(named.mapInArrow(lambda b: _class_batches(shingle, b), "doc_id long, key long, fp long, size int"), "keys")
+    least = math.ceil(similarity / (1 - similarity) - 1e-9) if similarity < 1 else 1 << 30  # smaller sets are like none but themselves
+    with scratch(docs.sparkSession, "near-dedup") as write:
+        classes = write(rows.groupBy("key").agg(F.min("doc_id").alias("first_id"), F.first("fp").alias("fp"), F.first("size").alias("size")), "classes")
+
+        def verify(pairs: DataFrame) -> DataFrame:
+            pairs = write(pairs, "pairs")
+            sets = _sets(docs, classes, pairs.select(F.col("u").alias("key")).union(pairs.select("v")).distinct(), shingle, write)
+            first, second = (sets.select(F.col("key").alias(end), F.col("shingles").alias(f"of_{end}")) for end in "uv")
+            common = F.size(F.array_intersect("of_u", "of_v"))
+            alike = common + 1e-9 >= similarity * (F.size("of_u") + F.size("of_v") - common)
+            return pairs.join(first, "u").join(second, "v").where(alike).select("u", "v", "ru", "rv")
+
+        groups = similar_groups(classes.where(F.col("size") >= least), radius, write, similarity, verify)
+        known = write(classes.join(groups, "key", "left").select("key", "first_id", F.coalesce("root", "key").alias("root")), "known")
+        reps = known.groupBy("root").agg(F.min(F.struct(F.col("first_id").isNull(), F.col("first_id"), F.col("key"))).alias("_rep"))
+        known = persisted(known.join(reps, "root").select("key", "root", F.col("_rep.first_id").alias("component_id"), F.col("_rep.key").alias("rep_key")), "known")
+    return rows.select("doc_id", "key").join(known, "key").select("doc_id", "key", "root", "component_id", "rep_key")
 
 
 def _key_batches(n: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(number, text) to (number, hash of the set of shingles)."""
+    """(number, doc_id, text) to (number, doc_id, hash of the set of shingles)."""
     for batch in batches:
-        keys = [_key(np.unique(shingle_hashes(t.as_py(), n))) for t in batch.column(1)]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys, pa.int64())], ["_row", "key"])
+        keys = [_key(np.unique(shingle_hashes(t.as_py(), n))) for t in batch.column(2)]
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(keys, pa.int64())], ["_row", "doc_id", "key"])
 
 
-def drop_near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
-    """One row of each class of near-duplicates: the one with the smallest doc_id; the columns as they are.
+def drop_near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, radius: int = RADIUS) -> DataFrame:
+    """One row of each group of near-duplicates: the one with the smallest doc_id; the columns as they are.
 
-    Of rows that repeat that doc_id one stays. Rows without a doc_id stay if
-    their class has no row with one, one of each class. Wordless texts are one
-    class.
+    A group without any doc_id keeps a row too. Of rows of one group that
+    share its smallest doc_id, the ones with the group's ``rep_key`` are told
+    apart by a hash of the whole row, of which the smallest stays; a doc_id
+    with texts in two groups may stay once in each. Wordless texts are one
+    group.
     """
-    classes = persisted(near_duplicates(docs, shingle, similarity), "classes")
-    dropped = _small(persisted(classes.where("doc_id <> component_id").select("doc_id").distinct(), "dropped"))
-    repeated = _small(persisted(classes.where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id"), "repeated"))
-    named = docs.where("doc_id IS NOT NULL").join(dropped, "doc_id", "left_anti")
-    once = named.join(repeated, "doc_id", "left_anti").select(docs.columns).union(named.join(repeated, "doc_id", "left_semi").select(docs.columns).dropDuplicates(["doc_id"]))
-    alone = classes.where("component_id IS NULL").select("key", "root").distinct()
-    unnamed = docs.where("doc_id IS NULL")
-    row = F.to_json(F.struct(*[F.col(f"`{c}`") for c in docs.columns]))
-    keyed = unnamed.withColumn("_row", F.xxhash64(row)).select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_all"), "_row", "text")
-    keys = keyed.select("_row", "text").mapInArrow(lambda b: _key_batches(shingle, b), "_row long, key long")
-    first = keys.join(alone, "key").groupBy("root").agg(F.min("_row").alias("_row")).select("_row")
-    rest = keyed.join(first, "_row", "left_semi").dropDuplicates(["_row"]).select("_all.*")
-    return once.union(rest)
+    classes = persisted(near_duplicates(docs, shingle, similarity, radius), "classes")
+    several = persisted(classes.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1 OR doc_id IS NULL").select("doc_id"), "several")
+    stays = "doc_id <=> component_id AND key = rep_key"
+    dropped = _small(persisted(classes.where(f"NOT ({stays})").select("doc_id").distinct().where("doc_id IS NOT NULL"), "dropped"))
+    if several.isEmpty():
+        return docs.join(dropped, "doc_id", "left_anti").select(docs.columns)
+    repeated = _small(several.where("doc_id IS NOT NULL"))
+    named = docs.where("doc_id IS NOT NULL")
+    once = named.join(repeated, "doc_id", "left_anti").join(dropped, "doc_id", "left_anti").select(docs.columns)
+    others = docs.where("doc_id IS NULL").select(docs.columns).union(named.join(repeated, "doc_id", "left_semi").select(docs.columns))
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    others = others.select(whole.alias("_all"), F.xxhash64(F.to_json(whole)).alias("_row"), F.col("doc_id").cast("long").alias("doc_id"), "text")
+    keys = others.select("_row", "doc_id", "text").mapInArrow(lambda b: _key_batches(shingle, b), "_row long, doc_id long, key long")
+    reps = classes.where(stays).select(F.col("doc_id").alias("_id"), F.col("key").alias("_key")).distinct()
+    first = keys.join(reps, F.expr("doc_id <=> _id AND key = _key")).groupBy("_id", "_key").agg(F.min("_row").alias("_row")).select("_row")
+    return once.union(others.join(_small(persisted(first, "rows")), "_row", "left_semi").dropDuplicates(["_row"]).select("_all.*"))

@@ -4,19 +4,27 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Writes a table under a name and gives it back as read from storage.
+Writer = Callable[[DataFrame, str], DataFrame]
+
 
 def shared_dir(spark: SparkSession, name: str) -> str:
     """A fresh folder path below ``spark.checkpoint.dir``.
 
-    The setting is read from the session. Only where it is unset, as in local
-    tests, a temporary folder of this machine becomes the checkpoint folder.
+    The setting is read from the session. Only where it is unset in local
+    mode, as in tests, a temporary folder of this machine becomes the
+    checkpoint folder; on a cluster an unset folder is an error.
     """
     sc = spark.sparkContext
     root = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not root:
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="chronoweave-"))
         root = sc.getCheckpointDir()
     elif not sc.getCheckpointDir():
@@ -24,14 +32,28 @@ def shared_dir(spark: SparkSession, name: str) -> str:
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def _written(df: DataFrame, path: str) -> DataFrame:
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def persisted(df: DataFrame, name: str) -> DataFrame:
     """``df`` written as Parquet to the shared folder and read back.
 
-    Cuts lineage, and survives the loss of executors.
+    Cuts lineage, and survives the loss of executors. The table stays, as
+    what is built on it is read later.
     """
-    path = shared_dir(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return _written(df, shared_dir(df.sparkSession, name))
+
+
+@contextmanager
+def scratch(spark: SparkSession, name: str) -> Iterator[Writer]:
+    """A writer like :func:`persisted` whose tables go when the block ends; what outlives the block must not read them."""
+    folder = shared_dir(spark, name)
+    try:
+        yield lambda df, table: _written(df, f"{folder}/{table}-{uuid.uuid4().hex}")
+    finally:
+        drop_dir(spark, folder)
 
 
 def drop_dir(spark: SparkSession, path: str) -> None:
