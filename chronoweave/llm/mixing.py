@@ -48,23 +48,29 @@ def mix_key(doc_id: Column) -> Column:
     return F.md5(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary"))
 
 
-def _parts(docs: DataFrame, weights: Sequence[float], cap: float) -> DataFrame:
-    """doc_id, source, size, _key, source_size, target, _epochs and _part (the words of the cut) of every row."""
+def _plan(docs: DataFrame, weights: Sequence[float], cap: float) -> DataFrame:
+    """The mix by stacks of rows that share doc_id and size: source, doc_id, size, _key, _count, source_size, target, _epochs, and _rest, the words that the last epoch has left for the stack."""
     measured = docs.select("doc_id", "source", n_words(F.col("text")).alias("size")).withColumn("_key", mix_key(F.col("doc_id")))
-    rows = persisted(measured.withColumn("_range", F.substring("_key", 1, KEY_RANGE_DIGITS)), "mix")
-    ranges = rows.groupBy("source", "_range").agg(F.sum("size").alias("_words"))
+    stacks = measured.groupBy("source", "_key", "doc_id", "size").agg(F.count("*").alias("_count")).withColumn("_range", F.substring("_key", 1, KEY_RANGE_DIGITS))
+    stacks = persisted(stacks, "mix")
+    words_of = F.col("size") * F.col("_count")
+    ranges = stacks.groupBy("source", "_range").agg(F.sum(words_of).alias("_words"))
     budget = targets(ranges.groupBy("source").agg(F.sum("_words").alias("source_size")), weights, cap)
     prefix = Window.partitionBy("source").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     starts = ranges.withColumn("_start", F.coalesce(F.sum("_words").over(prefix), F.lit(0))).alias("r")
     plan = starts.join(budget.alias("b"), F.expr("r.source <=> b.source")).select("r.source", "_range", "_start", "source_size", "target")
     within = Window.partitionBy("source", "_range").orderBy("_key", F.col("doc_id").asc_nulls_first(), "size").rowsBetween(Window.unboundedPreceding, -1)
-    placed = rows.withColumn("_inner", F.coalesce(F.sum("size").over(within), F.lit(0))).alias("d")
+    placed = stacks.withColumn("_inner", F.coalesce(F.sum(words_of).over(within), F.lit(0))).alias("d")
     words = F.round("target").cast("long")
     epochs = F.when(F.col("source_size") > 0, F.expr("cast(round(target) as bigint) div greatest(source_size, 1)")).otherwise(F.lit(0))
-    rest = words - epochs * F.col("source_size")
-    part = F.greatest(F.lit(0), F.least(F.col("size"), rest - F.col("_start") - F.col("_inner")))
+    rest = words - epochs * F.col("source_size") - F.col("_start") - F.col("_inner")
     joined = placed.join(plan.alias("p"), F.expr("d.source <=> p.source and d._range = p._range"))
-    return joined.select("doc_id", "d.source", "size", "_key", "source_size", "target", epochs.alias("_epochs"), part.cast("long").alias("_part"))
+    return joined.select("d.source", "doc_id", "size", "_key", "_count", "source_size", "target", epochs.alias("_epochs"), rest.cast("long").alias("_rest"))
+
+
+def _taken(epochs: Column, size: Column, rest: Column, before: Column) -> Column:
+    """Words of a row that ``before`` rows of its stack precede: whole epochs, and what the last one has left for it."""
+    return (epochs * size + F.greatest(F.lit(0), F.least(size, rest - before * size))).cast("long")
 
 
 def mix_sources(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), cap: float = 3.0) -> DataFrame:
@@ -80,7 +86,9 @@ def mix_sources(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), cap: floa
     The keys are cut into ranges. Sums of ranges make the prefix sums of
     ranges, and only rows within one range are sorted together, so that a
     source with a third of all rows is dealt over as many tasks as its rows
-    need. Only the ranges' sums, not the rows, meet in one task.
+    need. Rows of one doc_id and size are counted before they are sorted, so
+    that an id of very many rows is as many as it has sizes. Only the ranges'
+    sums, not the rows, meet in one task.
 
     A null text has size 0, a null source is a source, a null doc_id has the
     key of an empty one. Rows of the same doc_id stand in the order of their
@@ -89,28 +97,35 @@ def mix_sources(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), cap: floa
 
     Returns doc_id, source, size, source_size, target, taken.
     """
-    taken = (F.col("_epochs") * F.col("size") + F.col("_part")).cast("long")
-    return _parts(docs, weights, cap).select("doc_id", "source", "size", "source_size", "target", taken.alias("taken"))
+    each = _plan(docs, weights, cap).withColumn("_before", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_count") - 1)))
+    return each.select("doc_id", "source", "size", "source_size", "target", _taken(F.col("_epochs"), F.col("size"), F.col("_rest"), F.col("_before")).alias("taken"))
 
 
 def mixed_documents(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), cap: float = 3.0) -> DataFrame:
     """The mix itself: the rows of ``docs`` that it takes words of, with size, target and taken.
 
-    A source's cut is one key, so the texts are never sorted or shuffled: rows
-    are compared with the cuts, a row for each source. Rows that share a key
-    with the cut document (repeats of its doc_id) give no more words than it.
-    Columns of ``docs`` named like the new ones are replaced.
+    A source's cut is one place in the order of rows, so the texts are never
+    sorted or shuffled: rows are compared with the cuts, a row for each
+    source. Only the rows of a cut itself (one doc_id and size of a source)
+    are put in order, by a hash of the text, to give exactly what is left;
+    the words that a source gives are those of :func:`mix_sources`. Columns
+    of ``docs`` named like the new ones are replaced.
     """
-    parts = persisted(_parts(docs, weights, cap), "mix-parts")
-    cuts = parts.groupBy("source").agg(
-        F.max("target").alias("target"), F.max("_epochs").alias("_epochs"), F.max(F.when(F.col("_part") > 0, F.struct("_key", "_part"))).alias("_cut")
+    at = F.struct(F.col("_key"), F.col("doc_id").isNotNull().alias("_named"), F.col("size"))
+    cuts = _plan(docs, weights, cap).groupBy("source").agg(
+        F.max("target").alias("_target"), F.max("_epochs").alias("_epochs"), F.max(F.when((F.col("_rest") > 0) & (F.col("size") > 0), F.struct(at.alias("at"), F.col("_rest").alias("rest")))).alias("_cut")
     )
-    cuts = persisted(cuts.select(F.col("source").alias("_source"), F.col("target").alias("_target"), "_epochs", "_cut"), "mix-cuts")
+    cuts = persisted(cuts.withColumnRenamed("source", "_source"), "mix-cuts")
     if cuts.count() <= BROADCAST_SOURCES:
         cuts = F.broadcast(cuts)
     columns = [c for c in docs.columns if c not in ("size", "target", "taken")]
-    key = mix_key(F.col("doc_id"))
-    part = F.when(key < F.col("_cut._key"), F.col("_size")).when(key == F.col("_cut._key"), F.least(F.col("_size"), F.col("_cut._part"))).otherwise(F.lit(0))
-    taken = (F.col("_epochs") * F.col("_size") + F.coalesce(part, F.lit(0))).cast("long")
-    joined = docs.withColumn("_size", n_words(F.col("text"))).join(cuts, F.expr("source <=> _source"))
-    return joined.select(*[F.col(f"`{c}`") for c in columns], F.col("_size").alias("size"), F.col("_target").alias("target"), taken.alias("taken")).where("taken > 0")
+    own = docs.select(*[F.col(f"`{c}`") for c in columns], mix_key(F.col("doc_id")).alias("_key"))
+    place = F.struct(F.col("_key"), F.col("doc_id").isNotNull().alias("_named"), F.col("_size").alias("size"))
+    out = lambda df, taken: df.select(*[F.col(f"`{c}`") for c in columns], F.col("_size").alias("size"), F.col("_target").alias("target"), taken.alias("taken")).where("taken > 0")
+    joined = own.join(cuts, F.expr("source <=> _source")).withColumn("_size", n_words(F.col("text")))
+    whole = joined.where(F.col("_cut").isNull() | (place != F.col("_cut.at")))
+    part = F.when(place < F.col("_cut.at"), F.col("_size")).otherwise(F.lit(0))
+    last = own.join(cuts, F.expr("source <=> _source AND _key = _cut.at._key")).withColumn("_size", n_words(F.col("text"))).where(place == F.col("_cut.at"))
+    before = F.row_number().over(Window.partitionBy("source").orderBy(F.xxhash64("text"))) - 1
+    last = last.withColumn("_before", before)
+    return out(whole, (F.col("_epochs") * F.col("_size") + part).cast("long")).union(out(last, _taken(F.col("_epochs"), F.col("_size"), F.col("_cut.rest"), F.col("_before"))))
