@@ -137,20 +137,15 @@ WITH d AS (
 ), i AS (
   SELECT *, len(w) AS n, least(len(w), 5) AS k FROM b WHERE len(w) > 0
 ), bp AS (SELECT *, unnest(range(1, n - k + 2)) AS p FROM i
-), bs AS (SELECT bid, item_id, n, k, p, array_to_string(w[p : p + k - 1], ' ') AS s FROM bp
-), dp AS (SELECT rid, doc_id, w, ks.k, unnest(range(1, len(w) - ks.k + 2)) AS p FROM d, (SELECT DISTINCT k FROM i) ks WHERE len(w) >= ks.k
-), ds AS (SELECT rid, doc_id, len(w) AS total, k, p, array_to_string(w[p : p + k - 1], ' ') AS s FROM dp
-), win AS (
-  SELECT DISTINCT rid, doc_id, bs.n, bs.k, greatest(0, least(ds.p - bs.p, ds.total - bs.n)) AS start FROM ds JOIN bs ON ds.k = bs.k AND ds.s = bs.s
-), ws AS (
-  SELECT win.rid, win.doc_id, win.n, win.start, ds.s, count(*) AS c FROM win JOIN ds ON ds.rid = win.rid AND ds.k = win.k AND ds.p - 1 BETWEEN win.start AND win.start + win.n - win.k GROUP BY ALL
-), wt AS (SELECT rid, n, start, sum(c) AS t FROM ws GROUP BY ALL
-), ic AS (SELECT bid, item_id, n, s, count(*) AS c FROM bs GROUP BY ALL
-), it AS (SELECT bid, sum(c) AS t FROM ic GROUP BY ALL
-), m AS (
-  SELECT ws.rid, ws.doc_id, ws.n, ws.start, ic.bid, ic.item_id, CAST(sum(least(ws.c, ic.c)) AS DOUBLE) AS common FROM ws JOIN ic ON ws.n = ic.n AND ws.s = ic.s GROUP BY ALL
-), r AS (
-  SELECT DISTINCT doc_id, item_id, m.start, common / (wt.t + it.t - common) AS similarity FROM m JOIN wt ON wt.rid = m.rid AND wt.n = m.n AND wt.start = m.start JOIN it ON it.bid = m.bid
+), bs AS (SELECT bid, n, k, array_to_string(w[p : p + k - 1], ' ') AS s FROM bp
+), ic AS (SELECT bid, n, k, s, count(*) AS c FROM bs GROUP BY ALL
+), dp AS (SELECT rid, w, ks.k, unnest(range(1, len(w) - ks.k + 2)) AS p FROM d, (SELECT DISTINCT k FROM i) ks WHERE len(w) >= ks.k
+), ds AS (SELECT rid, len(w) AS total, k, p - 1 AS p, array_to_string(w[p : p + k - 1], ' ') AS s FROM dp
+), hit AS (SELECT rid, total, p, ic.bid, ic.n, ic.k, ic.s, ic.c, least(ic.n, total) - ic.k + 1 AS m FROM ds JOIN ic ON ds.k = ic.k AND ds.s = ic.s
+), win AS (SELECT *, unnest(range(greatest(0, p - m + 1), least(p, greatest(0, total - n)) + 1)) AS start FROM hit
+), cm AS (SELECT rid, bid, n, k, m, start, s, least(count(*), c) AS shared FROM win GROUP BY rid, bid, n, k, m, start, s, c
+), m AS (SELECT rid, bid, start, CAST(sum(shared) AS DOUBLE) AS common, m + n - k + 1 AS total FROM cm GROUP BY rid, bid, n, k, m, start
+), r AS (SELECT DISTINCT d.doc_id, i.item_id, m.start, common / (m.total - common) AS similarity FROM m JOIN d ON d.rid = m.rid JOIN i ON i.bid = m.bid
 )
 SELECT doc_id, item_id, max(similarity) AS similarity, CAST(arg_min(start, [-similarity, start]) AS BIGINT) AS start, count(*) AS n_windows FROM r WHERE similarity >= 0.8::DOUBLE GROUP BY doc_id, item_id
 """,
