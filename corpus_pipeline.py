@@ -13,7 +13,7 @@ from chronoweave.llm.mixing import mixed_documents
 from chronoweave.llm.near_dedup import drop_near_duplicates
 from chronoweave.llm.pii import redact_pii
 from chronoweave.llm.quality_model import keep_quality
-from chronoweave.llm.shared import persisted
+from chronoweave.llm.shared import drop_dir, shared_dir
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -49,15 +49,24 @@ STAGES = [
     ("mixing sources", mixing),
 ]
 
-#: SQL has no classifier and no fingerprints; tests compare run() with a brute-force version.
+#: SQL has no classifier and no fingerprints; tests/llm/test_pipeline.py compares run() with a brute-force version.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages applied to documents, each written to the shared folder and read again."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """The stages applied to documents, each written to the shared folder and read again.
+
+    A stage's table goes when the next one is written, so that of the texts
+    only those that the last stage reads, without personal data, stay there.
+    """
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
-            docs = persisted(docs, f"stage-{k}")
+            path = shared_dir(spark, f"stage-{k}")
+            docs.write.parquet(path)
+            docs = spark.read.schema(docs.schema).parquet(path)
+            if before:
+                drop_dir(spark, before)
+            before = path
     return docs
