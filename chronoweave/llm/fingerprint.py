@@ -35,17 +35,28 @@ def _bits(hashes: np.ndarray) -> np.ndarray:
     return np.unpackbits(hashes.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1)
 
 
-def simhash(lists: list[np.ndarray]) -> np.ndarray:
-    """Fingerprints: a bit is 1 if it is set in over half the hashes; zero without hashes."""
+def _mixed(hashes: np.ndarray, word: int) -> np.ndarray:
+    """Hashes of hashes, others for each word; word 0 are the hashes themselves (the finaliser of SplitMix64)."""
+    if not word:
+        return hashes
+    h = hashes ^ np.uint64(word * 0x9E3779B97F4A7C15 % (1 << 64))
+    h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return h ^ (h >> np.uint64(31))
+
+
+def simhash(lists: list[np.ndarray], words: int = 1) -> np.ndarray:
+    """Fingerprints of ``words`` times 64 bits, a row for each list: a bit is 1 if it is set in over half the hashes; zero without hashes."""
     sizes = np.array([len(x) for x in lists])
-    counts = np.zeros((len(lists), 64), np.int64)
+    counts = np.zeros((words, len(lists), 64), np.int64)
     flat = np.concatenate(lists) if lists else np.empty(0, np.uint64)
     owner = np.repeat(np.arange(len(lists)), sizes)
     for at in range(0, len(flat), BLOCK):
         own = owner[at : at + BLOCK]
         first = np.flatnonzero(np.r_[True, own[1:] != own[:-1]])
-        counts[own[first]] += np.add.reduceat(_bits(flat[at : at + BLOCK]), first, axis=0, dtype=np.int64)
-    return np.packbits(2 * counts > sizes[:, None], axis=1).view(">u8").reshape(-1).astype(np.uint64)
+        for word in range(words):
+            counts[word, own[first]] += np.add.reduceat(_bits(_mixed(flat[at : at + BLOCK], word)), first, axis=0, dtype=np.int64)
+    return np.packbits(2 * counts > sizes[None, :, None], axis=2).view(">u8").reshape(words, len(lists)).astype(np.uint64).T
 
 
 def fingerprint_batches(batches: Iterator[pa.RecordBatch], n: int, seed: int) -> Iterator[pa.RecordBatch]:
@@ -59,4 +70,4 @@ def fingerprint_batches(batches: Iterator[pa.RecordBatch], n: int, seed: int) ->
                 fps.append(simhash(held))
                 held, size = [], 0
         fps.append(simhash(held))
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.concatenate(fps).view(np.int64))], ["doc_id", "fp"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.concatenate(fps)[:, 0].copy().view(np.int64))], ["doc_id", "fp"])

@@ -22,14 +22,14 @@ from math import comb
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
 from .shared import Writer
 
 #: Numbers of partitions to choose from.
-PARTITIONS = (2, 3, 4, 5, 6, 8)
+PARTITIONS = (2, 3, 4, 5, 6, 8, 10)
 #: Relative cost of a probe (a row that is shuffled and sorted, some microseconds) and of a candidate (a comparison in the join, some nanoseconds).
 PROBE, CANDIDATE = 2.0, 0.005
 #: Width of the blocks of bits that value counts are kept of: 256 counts each.
@@ -188,23 +188,23 @@ def _slots(plan: Plan, g: int, bucket: np.ndarray, values: np.ndarray) -> np.nda
 
 
 def _entries(plan: Plan, spread: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(key, fp, size, root, bucket) to one row for each group of bits, under its value and the bucket; with ``spread`` under the next buckets too."""
+    """(fp, bucket, more columns) to one row for each group of bits, under its value and the bucket; with ``spread`` under the next bucket too."""
     for batch in batches:
-        bits = _bits(batch.column(1).to_numpy(zero_copy_only=False).view(np.uint64))
-        bucket = batch.column(4).to_numpy(zero_copy_only=False)
+        bits = _bits(batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64))
+        bucket = batch.column(1).to_numpy(zero_copy_only=False)
         for g, group in enumerate(plan.groups):
             values = _values(bits, group)
             for more in range(spread + 1):
-                yield pa.RecordBatch.from_arrays([pa.array(_slots(plan, g, bucket + more, values)), *batch.columns[:4]], ["slot", "key", "fp", "size", "root"])
+                yield pa.RecordBatch.from_arrays([pa.array(_slots(plan, g, bucket + more, values)), *batch.columns], ["slot", *batch.schema.names])
 
 
 def _probes(plan: Plan, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(key, fp, size, root, bucket) under all values that the row's thresholds allow."""
+    """(fp, bucket, more columns) under all values that the row's thresholds allow, with the thresholds."""
     for batch in batches:
         for i in range(0, batch.num_rows, 4096):
             rows = batch.slice(i, 4096)
-            bits = _bits(rows.column(1).to_numpy(zero_copy_only=False).view(np.uint64))
-            bucket = rows.column(4).to_numpy(zero_copy_only=False)
+            bits = _bits(rows.column(0).to_numpy(zero_copy_only=False).view(np.uint64))
+            bucket = rows.column(1).to_numpy(zero_copy_only=False)
             units, _ = plan.allocate(bits)
             packed = (units << (4 * np.arange(len(plan.groups)))).sum(axis=1)
             for g, group in enumerate(plan.groups):
@@ -216,33 +216,58 @@ def _probes(plan: Plan, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Record
                         some = own[k : k + step]
                         slots = _slots(plan, g, bucket[some][:, None], values[some][:, None] ^ masks[None, :]).reshape(-1)
                         told = rows.take(pa.array(np.repeat(some, len(masks))))
-                        yield pa.RecordBatch.from_arrays([pa.array(slots), *told.columns[:4], pa.array(np.repeat(packed[some], len(masks)))], ["slot", "key", "fp", "size", "root", "units"])
+                        yield pa.RecordBatch.from_arrays([pa.array(slots), *told.columns, pa.array(np.repeat(packed[some], len(masks)))], ["slot", *batch.schema.names, "units"])
 
 
-#: Rounds in which rows are compared with drawn ones alone, before all pairs that these do not join.
-STARS = 2
-_ENTRY = "slot long, key long, fp long, size int, root long"
+#: Rounds in which rows are compared with drawn ones alone, and rows drawn from each slot. What these join need not be compared pair by pair.
+STARS, DRAWN = 3, 8
+
+
+@dataclass(frozen=True)
+class Near:
+    """What makes two rows (key, fp, size and the columns ``wide``) candidates: at most ``radius`` bits (14 at most) between their fp, ``wide_radius`` between fp and ``wide`` together, and sizes ``ratio`` alike."""
+
+    radius: int
+    ratio: float = 0.0
+    wide: tuple[str, ...] = ()
+    wide_radius: int = 0
+
+    def bucket(self) -> Column:
+        """Rows of like size are in one bucket or in neighbours."""
+        return (F.floor(F.log("size") / F.lit(-math.log(self.ratio) * 1.0001)) if self.ratio else F.lit(0)).cast("int")
+
+    def condition(self, radius: int) -> str:
+        """On rows q and x of different roots."""
+        close = f"q.root <> x.root AND bit_count(q.fp ^ x.fp) <= {int(radius)} AND least(q.size, x.size) >= {float(self.ratio)!r}D * greatest(q.size, x.size) - 1e-9D"
+        if self.wide:
+            close += " AND " + " + ".join(f"bit_count(q.{c} ^ x.{c})" for c in ("fp", *self.wide)) + f" <= {int(self.wide_radius)}"
+        return close
 
 
 class _Search:
-    """Rows (key, fp, size, root, bucket), and pairs of them within ``radius`` bits of which the smaller size is ``ratio`` of the larger at least."""
+    """Candidates within ``radius`` among the rows of ``state``: key, fp, size, wide columns, root and bucket."""
 
-    def __init__(self, state: DataFrame, radius: int, ratio: float):
+    def __init__(self, state: DataFrame, near: Near, radius: int):
         sizes = {r["bucket"]: r["count"] for r in state.groupBy("bucket").count().collect()}  # a row for each factor 1 / ratio of sizes
         n = sum(sizes.values())
         meet = sum(c * (c + sizes.get(b - 1, 0)) for b, c in sizes.items()) / max(n, 1) ** 2
-        self.plan, self.spread = make_plan(state, radius, meet), int(ratio > 0)
-        self.near = f"bit_count(q.fp ^ x.fp) <= {int(radius)} AND q.root <> x.root AND least(q.size, x.size) >= {float(ratio)!r}D * greatest(q.size, x.size) - 1e-9D"
+        self.plan, self.spread, self.condition = make_plan(state, radius, meet), int(near.ratio > 0), near.condition(radius)
+        self.columns = ["fp", "bucket", "key", "size", "root", *near.wide]
+
+    def _mapped(self, state: DataFrame, make, more: str = "") -> DataFrame:
+        rows = state.select(*self.columns)
+        return rows.mapInArrow(make, "slot long, " + ", ".join(f"{c} {t}" for c, t in rows.dtypes) + more).drop("bucket")
 
     def _entries(self, state: DataFrame, spread: int) -> DataFrame:
         plan = self.plan
-        return state.mapInArrow(lambda b: _entries(plan, spread, b), _ENTRY)
+        return self._mapped(state, lambda b: _entries(plan, spread, b))
 
     def stars(self, state: DataFrame, salt: int) -> DataFrame:
-        """Pairs (u, v, ru, rv) of every key with two drawn ones at most: of the drawn keys of its slots the first in the order of a hash that all slots share, and the nearest."""
-        drawn = F.struct("key", "fp", "size", "root")
-        reps = self._entries(state, self.spread).groupBy("slot").agg(F.min_by(drawn, F.xxhash64("key", F.lit(salt))).alias("x")).select("slot", "x.*")
-        met = self._entries(state, 0).alias("q").join(reps.alias("x"), F.expr(f"q.slot = x.slot AND q.key <> x.key AND {self.near}"))
+        """Pairs (u, v, ru, rv) of every key with two drawn ones at most: of those drawn from its slots the first in the order of a hash that all slots share, and the nearest."""
+        least = [F.min_by("key", F.xxhash64("key", F.lit(salt * DRAWN + k))) for k in range(DRAWN)]
+        drawn = self._entries(state, self.spread).groupBy("slot").agg(F.array_distinct(F.array(*least)).alias("keys")).select("slot", F.explode("keys").alias("key"))
+        reps = drawn.join(state.drop("bucket"), "key")
+        met = self._entries(state, 0).alias("q").join(reps.alias("x"), F.expr(f"q.slot = x.slot AND q.key <> x.key AND {self.condition}"))
         other = F.struct(F.col("x.key").alias("v"), F.col("x.root").alias("rv"))
         first = F.min_by(other, F.xxhash64("x.key", F.lit(salt)))
         nearest = F.min_by(other, F.struct(F.expr("bit_count(q.fp ^ x.fp)"), "x.key"))
@@ -252,8 +277,8 @@ class _Search:
     def pairs(self, state: DataFrame) -> DataFrame:
         """All pairs (u, v, ru, rv) of keys of different roots. A pair comes up once: the larger size asks, in the first group whose threshold the pair meets."""
         plan = self.plan
-        asks = state.mapInArrow(lambda b: _probes(plan, b), f"{_ENTRY}, units long").alias("q")
-        close = f"q.slot = x.slot AND (q.size > x.size OR (q.size = x.size AND q.key > x.key)) AND {self.near}"
+        asks = self._mapped(state, lambda b: _probes(plan, b), ", units long").alias("q")
+        close = f"q.slot = x.slot AND (q.size > x.size OR (q.size = x.size AND q.key > x.key)) AND {self.condition}"
         for g, group in enumerate(plan.groups[:-1]):
             mask = sum(1 << (63 - bit) for bit in group)
             mask -= (mask >> 63) << 64
@@ -262,24 +287,23 @@ class _Search:
         return met.select(F.col("q.key").alias("u"), F.col("x.key").alias("v"), F.col("q.root").alias("ru"), F.col("x.root").alias("rv"))
 
 
-def similar_groups(rows: DataFrame, radius: int, write: Writer, ratio: float = 0.0, verify: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
-    """(key, root): the smallest key reachable over links, for every row of ``rows`` (key, fp, size).
+def similar_groups(rows: DataFrame, near: Near, write: Writer, verify: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """(key, root): the smallest key reachable over links, for every row of ``rows`` (key, fp, size and the wide columns of ``near``).
 
-    Rows link if their fingerprints differ in at most ``radius`` bits (14 at
-    most), their sizes are ``ratio`` alike, and ``verify`` keeps the pair: it
-    gets (u, v, ru, rv) and gives back those that hold. Keys are distinct.
+    Rows link if ``near`` makes them candidates and ``verify`` keeps the pair:
+    it gets (u, v, ru, rv) and gives back those that hold. Keys are distinct.
 
     Groups of very many are not compared pair by pair: a few rounds compare
     each row with drawn representatives of its slots, and what is then joined
-    is one group. All pairs within the radius that are still apart are
-    compared at last, so the groups are those of all links.
+    is one group. All candidates that are still apart are compared at last, so
+    the groups are those of all links.
     """
-    bucket = F.floor(F.log("size") / F.lit(-math.log(ratio) * 1.0001)) if ratio else F.lit(0)
-    state = write(rows.select("key", "fp", F.col("size").cast("int").alias("size"), F.col("key").alias("root"), bucket.cast("int").alias("bucket")), "rows")
-    search = _Search(state, radius, ratio)
-    for step in range(STARS + 1):
-        pairs = search.stars(state, step) if step < STARS else search.pairs(state)
+    state = write(rows.select("key", "fp", F.col("size").cast("int").alias("size"), *near.wide, F.col("key").alias("root"), near.bucket().alias("bucket")), "rows")
+    search = _Search(state, near, near.radius)
+    steps = [lambda s, k=k: search.stars(s, k) for k in range(STARS)]
+    for step in [*steps, search.pairs]:
+        pairs = step(state)
         links = write((verify(pairs) if verify else pairs).select("ru", "rv"), "links")
         joined = components(links.select(F.col("ru").alias("u"), F.col("rv").alias("v")), write).select(F.col("vertex").alias("root"), F.col("root").alias("to"))
-        state = write(state.join(joined, "root", "left").select("key", "fp", "size", F.coalesce("to", "root").alias("root"), "bucket"), "rows")
+        state = write(state.join(joined, "root", "left").select("key", "fp", "size", *near.wide, F.coalesce("to", "root").alias("root"), "bucket"), "rows")
     return state.select("key", "root")

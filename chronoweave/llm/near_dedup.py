@@ -12,11 +12,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .fingerprint import BLOCK, fingerprint_batches, shingle_hashes, simhash
-from .hamming import similar_groups
+from .hamming import Near, similar_groups
 from .shared import Writer, persisted, scratch
 
 #: Bits within which the fingerprints of two texts are candidates. Sets that are 0.8 alike differ in 9.7 bits of 64 on average, with a deviation of 2.9: about 19 of 20 such pairs are within 14 bits, and nearly all that are more alike.
 RADIUS = 14
+#: Words of 64 bits of a text's whole fingerprint: the first is searched, and candidates lie within WIDE_RADIUS bits over all. At 0.8 the expected distance is 78 bits, with a deviation of 8.
+WORDS, WIDE_RADIUS = 8, 94
+_WIDE = tuple(f"fp{k}" for k in range(1, WORDS))
 #: Rows up to which a table of ids or keys is broadcast (some 20 bytes each). A larger one is shuffled.
 BROADCAST_ROWS = 1_000_000
 
@@ -41,7 +44,7 @@ def simhash_components(docs: DataFrame, radius: int = 3, shingle: int = 3) -> Da
     rows = persisted(fingerprints(docs, shingle), "fingerprints")
     with scratch(docs.sparkSession, "simhash") as write:
         fps = write(rows.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "fps")
-        groups = similar_groups(fps.select(F.col("fp").alias("key"), "fp", F.lit(1).alias("size")), radius, write).withColumnRenamed("key", "fp")
+        groups = similar_groups(fps.select(F.col("fp").alias("key"), "fp", F.lit(1).alias("size")), Near(radius), write).withColumnRenamed("key", "fp")
         known = write(fps.join(groups, "fp").select("fp", "root", "first_id"), "known")
         roots = known.groupBy("root").agg(F.min("first_id").alias("component_id"))
         classes = persisted(known.join(roots, "root").select("fp", "component_id"), "classes")
@@ -58,7 +61,7 @@ def _key(own: np.ndarray) -> int:
 
 
 def _class_batches(n: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc_id, text) to (doc_id, hash of the text's set of shingles, its SimHash, its size)."""
+    """(doc_id, text) to (doc_id, hash of the text's set of shingles, its size, its SimHash)."""
     for batch in batches:
         keys, sizes, fps, held, size = [], [], [], [], 0
         for t in batch.column(1):
@@ -67,10 +70,11 @@ def _class_batches(n: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Rec
             sizes.append(len(held[-1]))
             size += sizes[-1]
             if size >= BLOCK:
-                fps.append(simhash(held))
+                fps.append(simhash(held, WORDS))
                 held, size = [], 0
-        fps.append(simhash(held))
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys, pa.int64()), pa.array(np.concatenate(fps).view(np.int64)), pa.array(sizes, pa.int32())], ["doc_id", "key", "fp", "size"])
+        fps.append(simhash(held, WORDS))
+        told = np.ascontiguousarray(np.concatenate(fps).T).view(np.int64)
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys, pa.int64()), pa.array(sizes, pa.int32()), *map(pa.array, told)], ["doc_id", "key", "size", "fp", *_WIDE])
 
 
 def _set_batches(n: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -109,7 +113,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8,
 
     ``key`` is a 64-bit hash of the set of word shingles; texts of one set are
     one class, and no others are, whatever their fingerprints. Classes whose
-    SimHashes lie within ``radius`` bits and whose sizes allow the similarity
+    SimHashes lie within ``radius`` of 64 bits (and WIDE_RADIUS of all) and whose sizes allow the similarity
     are candidates, and link if their sets are at least ``similarity`` alike
     (common shingles over all). Null and wordless texts have an empty set and
     are one class. ``root`` is the smallest key reachable over links,
@@ -121,10 +125,10 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8,
     square, and no table of pairs or sets outlives the call.
     """
     named = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    rows = persisted(named.mapInArrow(lambda b: _class_batches(shingle, b), "doc_id long, key long, fp long, size int"), "keys")
+    rows = persisted(named.mapInArrow(lambda b: _class_batches(shingle, b), "doc_id long, key long, size int, fp long, " + ", ".join(f"{c} long" for c in _WIDE)), "keys")
     least = math.ceil(similarity / (1 - similarity) - 1e-9) if similarity < 1 else 1 << 30  # smaller sets are like none but themselves
     with scratch(docs.sparkSession, "near-dedup") as write:
-        classes = write(rows.groupBy("key").agg(F.min("doc_id").alias("first_id"), F.first("fp").alias("fp"), F.first("size").alias("size")), "classes")
+        classes = write(rows.groupBy("key").agg(F.min("doc_id").alias("first_id"), *[F.first(c).alias(c) for c in ("size", "fp", *_WIDE)]), "classes")
 
         def verify(pairs: DataFrame) -> DataFrame:
             pairs = write(pairs, "pairs")
@@ -134,7 +138,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8,
             alike = common + 1e-9 >= similarity * (F.size("of_u") + F.size("of_v") - common)
             return pairs.join(first, "u").join(second, "v").where(alike).select("u", "v", "ru", "rv")
 
-        groups = similar_groups(classes.where(F.col("size") >= least), radius, write, similarity, verify)
+        groups = similar_groups(classes.where(F.col("size") >= least), Near(radius, similarity, _WIDE, WIDE_RADIUS), write, verify)
         known = write(classes.join(groups, "key", "left").select("key", "first_id", F.coalesce("root", "key").alias("root")), "known")
         reps = known.groupBy("root").agg(F.min(F.struct(F.col("first_id").isNull(), F.col("first_id"), F.col("key"))).alias("_rep"))
         known = persisted(known.join(reps, "root").select("key", "root", F.col("_rep.first_id").alias("component_id"), F.col("_rep.key").alias("rep_key")), "known")
