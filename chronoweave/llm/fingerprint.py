@@ -9,7 +9,7 @@ import pyarrow as pa
 import xxhash
 
 #: Shingles whose bits are counted at once: 64 bytes each.
-BLOCK = 1 << 18
+BLOCK = 1 << 17
 
 
 def shingle_hashes(text: str | None, n: int = 3, seed: int = 42) -> np.ndarray:
@@ -30,9 +30,19 @@ def shingle_hashes(text: str | None, n: int = 3, seed: int = 42) -> np.ndarray:
     return np.array([h(b" ".join(ws[i : i + n]), seed) for i in range(len(ws) - n + 1)], np.uint64)
 
 
-def _bits(hashes: np.ndarray) -> np.ndarray:
-    """One row of 64 bits, the highest first, for each hash."""
-    return np.unpackbits(hashes.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1)
+#: For each byte, its eight bits as the bytes of one number, the highest first.
+_SPREAD = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).view(np.uint64).reshape(-1)
+
+
+def _bit_counts(hashes: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """How often each of 64 bits, the highest first, is set in the runs of hashes that start at ``first``.
+
+    Bits are added up as bytes, eight in one number, in steps that no byte overflows.
+    """
+    steps = np.union1d(first, np.arange(0, len(hashes), 255))
+    lanes = _SPREAD[hashes.astype(">u8").view(np.uint8).reshape(-1, 8)]
+    sums = np.add.reduceat(lanes, steps, axis=0).view(np.uint8).reshape(len(steps), 64)
+    return np.add.reduceat(sums, np.searchsorted(steps, first), axis=0, dtype=np.int64)
 
 
 def _mixed(hashes: np.ndarray, word: int) -> np.ndarray:
@@ -55,7 +65,7 @@ def simhash(lists: list[np.ndarray], words: int = 1) -> np.ndarray:
         own = owner[at : at + BLOCK]
         first = np.flatnonzero(np.r_[True, own[1:] != own[:-1]])
         for word in range(words):
-            counts[word, own[first]] += np.add.reduceat(_bits(_mixed(flat[at : at + BLOCK], word)), first, axis=0, dtype=np.int64)
+            counts[word, own[first]] += _bit_counts(_mixed(flat[at : at + BLOCK], word), first)
     return np.packbits(2 * counts > sizes[None, :, None], axis=2).view(">u8").reshape(words, len(lists)).astype(np.uint64).T
 
 
