@@ -26,6 +26,8 @@ from .shared import persisted
 
 #: Bytes of records after which a frame is closed.
 FRAME_BYTES = 1 << 20
+#: Frames that one task reads back.
+FRAMES_PER_TASK = 64
 #: Fixed values of the seekable format: the skippable frame's number and the footer's number.
 SKIPPABLE, SEEKABLE = 0x184D2A5E, 0x8F92EAB1
 #: Record headers.
@@ -219,8 +221,9 @@ class Archive:
 
 
 def _frames(index: DataFrame) -> DataFrame:
-    """The frames of an index, dealt out by hash."""
-    return index.select("bundle", "frame").distinct()
+    """The frames of an index, dealt out over as many tasks as they need."""
+    frames = persisted(index.select("bundle", "frame").distinct(), "frames")
+    return frames.repartition(max(1, -(-frames.count() // FRAMES_PER_TASK)))
 
 
 def write_archive(pages: DataFrame, folder: str, min_revisit_bytes: int = 0) -> Archive:
@@ -248,6 +251,7 @@ def write_archive(pages: DataFrame, folder: str, min_revisit_bytes: int = 0) ->
     keyed = given.withColumn("sha", F.sha1(F.col("html").cast("binary")))
     ids = persisted(keyed.where(F.octet_length("html") >= min_revisit_bytes).select("page_id", "sha"), "payloads")
     shared = ids.groupBy("sha").agg(F.max("page_id").alias("main"), F.count("*").alias("n")).where("n > 1").select("sha", "main")
+    shared = persisted(shared, "shared")  # a join of plain tables, of which a payload that very many pages share can be split
     mains = persisted(ids.join(shared, "sha").select("page_id", "sha", "main", F.lit(True).alias("known")).distinct(), "mains")
     if mains.count() <= BROADCAST_ROWS:
         mains = F.broadcast(mains)
