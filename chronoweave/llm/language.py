@@ -11,12 +11,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .splits import bounded_sample, remainder
+from .splits import hash_share, remainder
 
 #: Bound of the training sample, in documents.
 MAX_TRAINING_DOCS = 5_000
 #: Longest n-gram, and the least count in the sample of a word and of an n-gram.
 LONGEST, MIN_WORD, MIN_GRAM = 5, 2, 2
+#: Words from which on a text's score is as sure as its mean score lets it be.
+SURE = 20
 #: Unseen words whose scores a worker remembers.
 CACHE = 200_000
 _WORD = re.compile(r"[^\W\d_]+")
@@ -63,7 +65,7 @@ class LanguageModel:
             for word, k in zip(ws, ids):
                 if k is None:
                     total = total + self.word_score(word)
-        mean = total / len(ws) * min(len(ws), 20)
+        mean = total / len(ws) * min(len(ws), SURE)
         share = np.exp(mean - mean.max())
         best = int(mean.argmax())
         return self.languages[best], float(share[best] / share.sum())
@@ -91,13 +93,20 @@ def _word_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 def fit_languages(docs: DataFrame, folds: int = 5, max_docs: int = MAX_TRAINING_DOCS) -> LanguageModel:
     """Counts from documents with a language whose crc32 modulo ``folds`` is not 0.
 
-    The sample is bounded to ``max_docs`` documents by a hash of the id, each
-    with its whole text; the counts are made in Spark. Without such documents
-    the model knows no language and predicts ``und``.
+    The sample is bounded to about ``max_docs`` documents, by a hash, each
+    with its whole text; languages share it equally, and one that has fewer
+    documents gives all of them. The counts are made in Spark. Items that
+    occur once in the sample (MIN_WORD, MIN_GRAM) are left out. Without such
+    documents the model knows no language and predicts ``und``.
     """
-    rows = docs.where(F.col("lang").isNotNull() & (remainder(F.col("doc_id"), folds) != 0))
-    chosen = bounded_sample(rows.select("doc_id", F.col("lang").cast("string").alias("lang"), "text"), max_docs, 21, docs.count())
+    rows = docs.where(F.col("lang").isNotNull() & (remainder(F.col("doc_id"), folds) != 0)).select("doc_id", F.col("lang").cast("string").alias("lang"), "text")
+    sizes = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}  # a row for each language
+    share = F.lit(0.0)
+    for lang, n in sizes.items():
+        share = F.when(F.col("lang") == lang, F.lit(min(1.0, max_docs / len(sizes) / n))).otherwise(share)
+    chosen = rows.where(hash_share(21, "doc_id", "text") < share)
     counts = chosen.select("lang", "text").mapInArrow(_word_batches, "lang string, word string").groupBy("lang", "word").agg(F.count("*").alias("n"))
+    counts = counts.repartition(2 * docs.sparkSession.sparkContext.defaultParallelism)
     padded = F.concat(F.lit(" "), F.col("word"), F.lit(" "))
     of_length = lambda n: F.when(F.length(padded) >= n, F.transform(F.sequence(F.lit(1), F.length(padded) - n + 1), lambda i: F.substr(padded, i, F.lit(n)))).otherwise(F.array().cast("array<string>"))
     counts = counts.persist()

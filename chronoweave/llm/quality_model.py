@@ -125,17 +125,17 @@ def fit_quality(docs: DataFrame, labels: DataFrame, folds: int = 5, max_rows: in
     """A model from documents whose crc32 modulo ``folds`` is not 0.
 
     Positives are documents labelled 1; unlabelled text is any document of
-    those folds. The sample is bounded: at most ``max_rows`` labels and about
-    as many unlabelled rows, chosen by a hash of the id. The prior is the share
+    those folds. The sample is bounded: about ``max_rows`` labels and as many
+    unlabelled rows, chosen by hashes. The prior is the share
     of label 1 among the sampled labels if both occur, else it is estimated
     from scores. A label that is null, or that a doc_id has in two versions,
     counts as none. Without positives the model gives 0.5.
     """
     known = labels.where("quality IS NOT NULL AND doc_id IS NOT NULL").where(remainder(F.col("doc_id"), folds) != 0).groupBy("doc_id").agg(F.min("quality").alias("quality"), F.max("quality").alias("_most")).where("quality = _most").select("doc_id", "quality")
-    known = bounded_sample(known, max_rows, 11, labels.count())
+    known = bounded_sample(known, max_rows, 11, labels.count(), "doc_id")
     training = docs.select("doc_id", "text").where(remainder(F.col("doc_id"), folds) != 0)
     plain = training.select("doc_id", "text", F.lit(None).cast("int").alias("quality"), F.lit(True).alias("unlabelled"))
-    plain = bounded_sample(plain, max_rows, 12, docs.count())
+    plain = bounded_sample(plain, max_rows, 12, training.count(), "doc_id", "text")
     marked = training.join(F.broadcast(known), "doc_id").select("doc_id", "text", F.col("quality").cast("int").alias("quality"), F.lit(False).alias("unlabelled"))
     rows = plain.union(marked).select("quality", "unlabelled", "text").mapInArrow(_feature_batches, "quality int, unlabelled boolean, x array<double>").toPandas()
     x = np.array(rows["x"].tolist(), dtype=float).reshape(len(rows), N_FEATURES)
