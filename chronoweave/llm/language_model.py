@@ -15,6 +15,7 @@ row for each shard reaches the driver.
 
 from __future__ import annotations
 
+import math
 import os
 import shutil
 import tempfile
@@ -364,9 +365,7 @@ def fit_trie(docs: DataFrame, folder: str, text: str = "text") -> TrieModel:
     spark = docs.sparkSession
     path = spark._jvm.org.apache.hadoop.fs.Path(folder)
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).mkdirs(path)
-    shards = 1
-    while shards * DOCS_PER_SHARD < docs.count():
-        shards *= 2
+    shards = 1 << max(0, math.ceil(math.log2(max(docs.count(), 1) / DOCS_PER_SHARD)))
     texts = docs.select(F.col(text))
     counted = texts.mapInArrow(lambda b: _count_words(shards, b), "shard long, blob binary")
     built = persisted(counted.groupBy("shard").applyInArrow(lambda t: _build_words(folder, shards, t), "shard long, n long, tokens long, path string"), "words")
@@ -378,6 +377,8 @@ def fit_trie(docs: DataFrame, folder: str, text: str = "text") -> TrieModel:
     if any(r["path"].endswith("words-none") for r in rows.values()):
         _save(f"{folder}/words-none", pack({"counts": np.zeros(0, np.int32)}, {"hashes": EliasFano.build(np.zeros(0, np.int64), 1 << 62)}, {}))
     sizes = [rows[s]["n"] for s in range(shards)]
+    if sum(sizes) >= 1 << 32:
+        raise ValueError("more than 2**32 distinct words: numbers of 32 bits do not tell them apart")
     model = TrieModel(sum(rows[s]["tokens"] for s in range(shards)), sum(sizes), tuple(int(x) for x in np.r_[0, np.cumsum(sizes)[:-1]]), tuple(rows[s]["path"] for s in range(shards)), {})
     pairs = texts.mapInArrow(lambda b: _count_pairs(model, b), "shard long, blob binary")
     found = persisted(pairs.groupBy("shard").applyInArrow(lambda t: _build_pairs(folder, model, t), "shard long, path string"), "successors").collect()
@@ -429,4 +430,4 @@ def score_corpus(docs: DataFrame, folds: int = 10) -> DataFrame:
     rest = remainder(F.col("doc_id"), folds)
     model = fit_trie(docs.where(rest != 0), shared_dir(docs.sparkSession, "trie"))
     scored = score_texts(docs, model).withColumn("held_out", rest == 0)
-    return scored.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(model.tokens).cast("long").alias("train_tokens"), "base_score", "score")
+    return scored.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(model.tokens).cast("long").alias("train_tokens"), "base_score", "score", (F.col("score") / F.col("n_tokens")).alias("mean_score"))
