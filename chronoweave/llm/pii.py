@@ -322,10 +322,10 @@ def find_pii(docs: DataFrame, text: str = "text", precision: float = 0.98) -> Da
 
 
 def pii_digest(docs: DataFrame) -> DataFrame:
-    """doc_id, counts of the base kinds, base_sha256 and spans as text."""
+    """doc_id, counts of the base kinds and of all spans, base_sha256 and spans as text."""
     found = find_pii(docs.select("doc_id", "text"))
     count = lambda kind: F.size(F.filter("base_spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
-    return found.select("doc_id", *map(count, BASE_KINDS), F.sha2(_told(F.col("base_spans")).cast("binary"), 256).alias("base_sha256"), _told(F.col("spans")).alias("spans"))
+    return found.select("doc_id", *map(count, BASE_KINDS), F.size("spans").cast("long").alias("n_spans"), F.sha2(_told(F.col("base_spans")).cast("binary"), 256).alias("base_sha256"), _told(F.col("spans")).alias("spans"))
 
 
 def redact_pii(docs: DataFrame, text: str = "text", precision: float = 0.98) -> DataFrame:
