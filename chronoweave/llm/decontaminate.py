@@ -23,9 +23,9 @@ from .text import let, window_hashes, words
 #: Words of a shingle; an item of fewer words is one shingle.
 SHINGLE = 5
 #: Fingerprints within so many bits are candidates. At similarity 0.8 the expected distance is 10 bits, with a deviation of 3.
-RADIUS = 19
+RADIUS = 23
 #: Blocks of bits of the multi-index.
-BLOCKS = 5
+BLOCKS = 6
 #: Rows and elements of arrays up to which a table is broadcast (some 100 bytes a row, 8 an element). Larger ones are shuffled.
 BROADCAST_ROWS, BROADCAST_ELEMENTS = 400_000, 4_000_000
 
