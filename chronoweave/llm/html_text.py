@@ -275,7 +275,7 @@ def subtrees(page: Page) -> set[int]:
 
 
 def main_text(html: str | None, templates: set[int] | frozenset[int] = frozenset()) -> str:
-    """The article: of the blocks outside of template subtrees those in main elements, else in articles if these hold half of the text, else all; joined by spaces."""
+    """The article: of the blocks outside of template subtrees those in main elements, else in articles if these hold a quarter of the text, else all; joined by spaces."""
     page = parse(html or "")
     dropped: list[bool] = []
     for parent, digest in zip(page.parents, page.hashes):  # parents come first
@@ -284,7 +284,7 @@ def main_text(html: str | None, templates: set[int] | frozenset[int] = frozenset
     of = lambda *places: [text for place, text in left if place in places]
     main, every = of(MAIN, MAIN_ARTICLE), of(MAIN, MAIN_ARTICLE, ARTICLE, ELSEWHERE)
     article = of(ARTICLE)
-    if not main and 2 * sum(map(len, article)) < sum(map(len, every)):
+    if not main and 4 * sum(map(len, article)) < sum(map(len, every)):
         article = []
     return " ".join(main or article or every)
 
