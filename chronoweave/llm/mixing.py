@@ -119,13 +119,13 @@ def mixed_documents(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), cap:
     if cuts.count() <= BROADCAST_SOURCES:
         cuts = F.broadcast(cuts)
     columns = [c for c in docs.columns if c not in ("size", "target", "taken")]
-    own = docs.select(*[F.col(f"`{c}`") for c in columns], mix_key(F.col("doc_id")).alias("_key"))
-    place = F.struct(F.col("_key"), F.col("doc_id").isNotNull().alias("_named"), F.col("_size").alias("size"))
-    out = lambda df, taken: df.select(*[F.col(f"`{c}`") for c in columns], F.col("_size").alias("size"), F.col("_target").alias("target"), taken.alias("taken")).where("taken > 0")
-    joined = own.join(cuts, F.expr("source <=> _source")).withColumn("_size", n_words(F.col("text")))
+    own = docs.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("_row"), mix_key(F.col("doc_id")).alias("_key"), F.col("doc_id").isNotNull().alias("_named"), F.col("source").alias("_of"))
+    size = n_words(F.col("_row.text"))
+    place = F.struct(F.col("_key"), F.col("_named"), F.col("_size").alias("size"))
+    out = lambda df, taken: df.select("_row.*", F.col("_size").alias("size"), F.col("_target").alias("target"), taken.alias("taken")).where("taken > 0")
+    joined = own.join(cuts, F.expr("_of <=> _source")).withColumn("_size", size)
     whole = joined.where(F.col("_cut").isNull() | (place != F.col("_cut.at")))
     part = F.when(place < F.col("_cut.at"), F.col("_size")).otherwise(F.lit(0))
-    last = own.join(cuts, F.expr("source <=> _source AND _key = _cut.at._key")).withColumn("_size", n_words(F.col("text"))).where(place == F.col("_cut.at"))
-    before = F.row_number().over(Window.partitionBy("source").orderBy(F.xxhash64("text"))) - 1
-    last = last.withColumn("_before", before)
+    last = own.join(cuts, F.expr("_of <=> _source AND _key = _cut.at._key")).withColumn("_size", size).where(place == F.col("_cut.at"))
+    last = last.withColumn("_before", F.row_number().over(Window.partitionBy("_of").orderBy(F.xxhash64("_row.text"))) - 1)
     return out(whole, (F.col("_epochs") * F.col("_size") + part).cast("long")).union(out(last, _taken(F.col("_epochs"), F.col("_size"), F.col("_cut.rest"), F.col("_before"))))
