@@ -287,6 +287,13 @@ class _Search:
         return met.select(F.col("q.key").alias("u"), F.col("x.key").alias("v"), F.col("q.root").alias("ru"), F.col("x.root").alias("rv"))
 
 
+def similar_pairs(fps: DataFrame, radius: int) -> DataFrame:
+    """All pairs (a, b), a > b as signed numbers, of distinct fingerprints (a column fp) that differ in at most ``radius`` bits. An empty table gives no pairs."""
+    near = Near(radius)
+    state = fps.select("fp", F.lit(0).alias("bucket"), F.col("fp").alias("key"), F.lit(1).alias("size"), F.col("fp").alias("root"))
+    return _Search(state, near, radius).pairs(state).select(F.col("u").alias("a"), F.col("v").alias("b"))
+
+
 def similar_groups(rows: DataFrame, near: Near, write: Writer, verify: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """(key, root): the smallest key reachable over links, for every row of ``rows`` (key, fp, size and the wide columns of ``near``).
 

@@ -46,7 +46,7 @@ def simhash_components(docs: DataFrame, radius: int = 3, shingle: int = 3) -> Da
         fps = write(rows.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "fps")
         groups = similar_groups(fps.select(F.col("fp").alias("key"), "fp", F.lit(1).alias("size")), Near(radius), write).withColumnRenamed("key", "fp")
         known = write(fps.join(groups, "fp").select("fp", "root", "first_id"), "known")
-        roots = known.groupBy("root").agg(F.min("first_id").alias("component_id"))
+        roots = write(known.groupBy("root").agg(F.min("first_id").alias("component_id")), "roots")
         classes = persisted(known.join(roots, "root").select("fp", "component_id"), "classes")
     return rows.join(classes, "fp").select("doc_id", "fp", "component_id")
 
@@ -140,7 +140,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8,
 
         groups = similar_groups(classes.where(F.col("size") >= least), Near(radius, similarity, _WIDE, WIDE_RADIUS), write, verify)
         known = write(classes.join(groups, "key", "left").select("key", "first_id", F.coalesce("root", "key").alias("root")), "known")
-        reps = known.groupBy("root").agg(F.min(F.struct(F.col("first_id").isNull(), F.col("first_id"), F.col("key"))).alias("_rep"))
+        reps = write(known.groupBy("root").agg(F.min(F.struct(F.col("first_id").isNull(), F.col("first_id"), F.col("key"))).alias("_rep")), "reps")
         known = persisted(known.join(reps, "root").select("key", "root", F.col("_rep.first_id").alias("component_id"), F.col("_rep.key").alias("rep_key")), "known")
     return rows.select("doc_id", "key").join(known, "key").select("doc_id", "key", "root", "component_id", "rep_key")
 
