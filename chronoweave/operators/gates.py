@@ -61,9 +61,10 @@ def rescue(pairs: DataFrame) -> DataFrame:
     for key in (lambda p: F.col(f"{p}_clip_index").cast("string"), device):
         ends = pairs.where(other).select("project_id", F.explode(F.array(key("a"), key("b"))).alias("key"), "allowed")
         stuck = ends.groupBy("project_id", "key").agg(F.max(F.col("allowed").cast("int")).alias("any")).where("any = 0")
-        freed = stuck.groupBy("project_id").agg(F.collect_list("key").alias("freed"))  # clips or devices of one project
-        off = F.coalesce(F.array_contains("freed", key("a")) | F.array_contains("freed", key("b")), F.lit(False))
-        pairs = pairs.join(freed, "project_id", "left").withColumn("allowed", F.col("allowed") | off).drop("freed")
+        for side in "ab":
+            freed = stuck.select("project_id", F.col("key").alias("_key"), F.lit(True).alias("_freed"))
+            pairs = pairs.withColumn("_key", key(side)).join(freed, ["project_id", "_key"], "left")
+            pairs = pairs.withColumn("allowed", F.col("allowed") | F.coalesce("_freed", F.lit(False))).drop("_key", "_freed")
     return pairs
 
 

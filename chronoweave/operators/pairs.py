@@ -113,8 +113,8 @@ def _finish(opts: AlignOptions, compat: bool, frames: Iterator[pd.DataFrame]) ->
                 if q >= quality - 0.02:
                     offset, quality, overlap = exact, q, n / r.a_env_rate
             ok = overlap >= opts.min_overlap and quality >= opts.min_quality and psr >= opts.min_psr
-            out.append((r.project_id, r.i, r.j, r.a_id, r.b_id, offset, quality, psr, overlap, r.method, ok))
-        yield pd.DataFrame(out, columns=["project_id", "i", "j", "a_id", "b_id", "offset_seconds", "quality", "psr", "overlap_seconds", "method", "accepted"])
+            out.append((r.project_id, r.i, r.j, r.a_id, r.b_id, offset, quality, psr, overlap, r.method, ok, r.bound))
+        yield pd.DataFrame(out, columns=["project_id", "i", "j", "a_id", "b_id", "offset_seconds", "quality", "psr", "overlap_seconds", "method", "accepted", "bound"])
 
 
 def refined_pairs(coarse: DataFrame, prepared: DataFrame, chunks: DataFrame, opts: AlignOptions, compat: bool = False, chunk: int = CHUNK) -> DataFrame:
@@ -131,12 +131,15 @@ def refined_pairs(coarse: DataFrame, prepared: DataFrame, chunks: DataFrame, opt
         got = fetch(spans, chunks, chunk).select("project_id", "key", F.col("first").alias(f"{side}_first"), F.col("samples").alias(f"{side}_samples"))
         own = prepared.select("project_id", F.col("clip_index").alias(clip), F.col("dc").alias(f"{side}_dc"), F.col("envelope").alias(f"{side}_env"), F.col("envelope_rate").alias(f"{side}_env_rate"))
         out = out.join(got, ["project_id", "key"], "left").join(own, ["project_id", clip])
-    schema = "project_id string, i int, j int, a_id string, b_id string, offset_seconds double, quality double, psr double, overlap_seconds double, method string, accepted boolean"
+    schema = "project_id string, i int, j int, a_id string, b_id string, offset_seconds double, quality double, psr double, overlap_seconds double, method string, accepted boolean, bound double"
     return out.mapInPandas(lambda it: _finish(opts, compat, it), schema)
 
 
 def align(screened: DataFrame, prepared: DataFrame, chunks: DataFrame, opts: AlignOptions | None = None, gates: GateOptions | None = None, compat: bool = False, known: DataFrame | None = None, chunk: int = CHUNK) -> DataFrame:
-    """Every screened pair with its match. Skipped pairs have method none and are not accepted; ``known`` pairs are not computed again."""
+    """Every screened pair with its match. Skipped pairs have method none and are not accepted; ``known`` pairs are not computed again.
+
+    Pairs that the envelope bound rejects are skipped as ``envelope``; ``bound`` is there for all that were tried.
+    """
     opts, gates = opts or AlignOptions(), gates or GateOptions()
     todo = screened
     if known is not None:
@@ -144,11 +147,12 @@ def align(screened: DataFrame, prepared: DataFrame, chunks: DataFrame, opts: Ali
         todo = screened.join(done, ["project_id", "a_clip_index", "b_clip_index"], "left_anti")
     coarse = settled(coarse_pairs(todo, prepared, opts, gates, compat), "coarse")  # read for each side's spans and again for the result
     new = refined_pairs(coarse, prepared, chunks, opts, compat, chunk)
-    found = new if known is None else new.unionByName(known.select(new.columns))
+    found = new if known is None else new.unionByName(known.select([c for c in new.columns if c in known.columns]), allowMissingColumns=True)
     base = screened.select("project_id", F.col("a_clip_index").alias("i"), F.col("b_clip_index").alias("j"), F.col("a_clip_id").alias("a_id"), F.col("b_clip_id").alias("b_id"), "skipped")
     fill = lambda c, v: F.coalesce(F.col(c), F.lit(v)).alias(c)
     return base.join(found.drop("a_id", "b_id"), ["project_id", "i", "j"], "left").select(
-        "project_id", "i", "j", "a_id", "b_id", fill("offset_seconds", 0.0), fill("quality", 0.0), fill("psr", 0.0), fill("overlap_seconds", 0.0), fill("method", "none"), fill("accepted", False), "skipped"
+        "project_id", "i", "j", "a_id", "b_id", fill("offset_seconds", 0.0), fill("quality", 0.0), fill("psr", 0.0), fill("overlap_seconds", 0.0), fill("method", "none"), fill("accepted", False),
+        F.coalesce("skipped", F.when((F.col("method") == "none") & F.col("bound").isNotNull(), F.lit("envelope"))).alias("skipped"), "bound",
     )
 
 

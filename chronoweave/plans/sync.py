@@ -59,6 +59,6 @@ def sync(clips: DataFrame, opts: SyncOptions | None = None, chunks: DataFrame |
     else:
         placements = placements.withColumn("drift_ppm", F.lit(None).cast("double"))
     refused = solved.groupBy("project_id").agg(F.max("refused").cast("long").alias("rejected_by_overlap"))
-    stats = gate_stats(screened).join(refused, "project_id")
+    stats = gate_stats(pairs).join(refused, "project_id")
     columns = ["project_id", "clip_index", "clip_id", "track_id", "start_seconds", "synced", "quality", "group_id", "drift_ppm"]
     return SyncResult(placements.select(columns), pairs, tree, wrong, stats, drift)
