@@ -1,6 +1,6 @@
 import numpy as np
 import pytest
-from shoots import RATE, clip, rows, speech
+from shoots import FULL_RATE, RATE, clip, on_board, part, rows, speech, talk
 
 from chronoweave.operators.gates import screen, time_candidates
 from chronoweave.operators.solve import spanning_forest
@@ -13,20 +13,20 @@ from chronoweave.schemas import CLIPS
 
 @pytest.fixture(scope="module")
 def result(spark):
-    world = speech(70, 1)
+    world = talk(110, 1)
     specs = [
-        ("rec", "R", clip(world, 0, 60, 2, 1.0), None, None, None),
-        ("camA", "A", clip(world, 8, 20, 3), None, None, None),
-        ("camB", "B", clip(world, 21.4, 18, 4), None, None, None),
-        ("orphan", "C", clip(speech(70, 9), 5, 12, 5), None, None, None),
-        ("camA2", "A", clip(world, 33, 15, 6), None, None, 33.0),
+        ("rec", "R", part(world, 0, 100).tolist(), None, None, None),
+        ("camA", "A", on_board(part(world, 8, 30), 3), None, None, None),
+        ("camB", "B", on_board(part(world, 21.4, 50), 4), None, None, None),
+        ("orphan", "C", on_board(talk(40, 9), 5), None, None, None),
+        ("camA2", "A", on_board(part(world, 45, 40), 6), None, None, None),
     ]
-    return sync(spark.createDataFrame(rows(specs), CLIPS), chunk=10_000)
+    return sync(spark.createDataFrame(rows(specs, FULL_RATE), CLIPS), chunk=100_000)
 
 
 def test_places_are_true(result):
     at = {r.clip_id: r for r in result.placements.collect()}
-    for name, start in (("rec", 0), ("camA", 8), ("camB", 21.4), ("camA2", 33)):
+    for name, start in (("rec", 0), ("camA", 8), ("camB", 21.4), ("camA2", 45)):
         assert abs(at[name].start_seconds - start) < 2e-3 and at[name].synced, at[name]
     assert not at["orphan"].synced and at["orphan"].start_seconds >= 60
     assert [r.clip_id for r in result.unsynced.collect()] == ["orphan"]
@@ -40,6 +40,23 @@ def test_every_pair_is_there_once(result):
     assert stats.skipped_same_device == 1 and result.inconsistencies.count() == 0
 
 
+def test_envelope_bound(spark):
+    """Pairs that the bound rejects are told as such, and those that are accepted stay the same."""
+    world = speech(40, 11)
+    specs = [("a", "A", clip(world, 0, 20, 1), None, None, None), ("b", "B", clip(world, 5, 20, 2), None, None, None), ("x", "C", clip(speech(40, 12), 0, 20, 3), None, None, None)]
+    clips = spark.createDataFrame(rows(specs), CLIPS)
+    kept = {}
+    for on in (False, True):
+        out = sync(clips, SyncOptions(gates=GateOptions(envelope_prefilter=on, prefilter_margin=0.0), detect_drift=False), chunk=8192)
+        pairs, stats = out.pairs.collect(), out.stats.first()
+        kept[on] = {(r.i, r.j) for r in pairs if r.accepted}
+        told = sum(r.skipped == "envelope" for r in pairs)
+        assert stats.skipped_by_envelope == told and stats.aligned_pairs + told == 3 and (told > 0) <= on
+        assert all((r.bound is not None) == on for r in pairs)
+        assert all(r.bound < 0.3 and r.method == "none" and not r.accepted for r in pairs if r.skipped == "envelope")
+    assert (0, 1) in kept[False] and kept[True] <= kept[False] and (0, 1) in kept[True]
+
+
 def test_reports(result, spark, tmp_path):
     from chronoweave.sources.sinks import report, write_json
 
