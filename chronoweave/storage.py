@@ -12,12 +12,14 @@ def settled(df: DataFrame, name: str) -> DataFrame:
     """``df`` written as Parquet below ``spark.checkpoint.dir`` and read back.
 
     Plans that build on it stay short, its size is known, and a lost executor
-    costs nothing. Where the setting is unset, as in tests, a temporary folder
-    of this machine is used.
+    costs nothing. Where the setting is unset in local mode, as in tests, a
+    temporary folder of this machine is used; on a cluster that is an error.
     """
     spark = df.sparkSession
     root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
     if not root:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="chronoweave-"))
         root = spark.sparkContext.getCheckpointDir()
     path = f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
