@@ -58,6 +58,23 @@ def prepare(clips: DataFrame, opts: AlignOptions | None = None) -> DataFrame:
     return slim.mapInPandas(lambda it: _prepare(opts, it), PREPARED)
 
 
+def prepare_chunks(clips: DataFrame, chunks: DataFrame, opts: AlignOptions | None = None) -> DataFrame:
+    """:func:`prepare` of clips whose signals are in chunks (schemas.SIGNAL_CHUNKS): a task holds one clip at a time. A clip without chunks has no samples."""
+    opts = opts or AlignOptions()
+    slim = clips.select(
+        "project_id", "clip_index", "clip_id", "track_id", "sample_rate", "timecode_seconds", trusted_time(F.col("recorded_at_source"), F.col("recorded_at_seconds")).alias("trusted_at"),
+    )
+    keys = ["project_id", "clip_id"]
+
+    def run(own: pd.DataFrame, parts: pd.DataFrame) -> pd.DataFrame:
+        whole = np.concatenate([np.zeros(0), *parts.sort_values("chunk_idx").samples])
+        frames = _prepare(opts, iter([own.assign(samples=[whole] * len(own))])) if len(own) else iter(())
+        return next(frames, pd.DataFrame(columns=[c.split()[0] for c in PREPARED.split(", ")]))
+
+    parts = chunks.select(*keys, "chunk_idx", "samples")
+    return slim.groupBy(*keys).cogroup(parts.groupBy(*keys)).applyInPandas(run, PREPARED)
+
+
 def fetch(requests: DataFrame, chunks: DataFrame, chunk: int = CHUNK) -> DataFrame:
     """Native samples of spans of clips, from only the chunks that they touch.
 

@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.features import CHUNK, prepare, to_chunks
+from ..operators.features import CHUNK, prepare, prepare_chunks, to_chunks
 from ..operators.gates import gate_stats, screen
 from ..operators.pairs import align
 from ..operators.solve import device_overlaps, disagreements, layout, measure_drift, solve, tree_edges
@@ -37,10 +37,11 @@ def sync(clips: DataFrame, opts: SyncOptions | None = None, chunks: DataFrame |
     Features are made once and kept; pairs are pruned by metadata before any
     signal moves; features meet by blocks of clips; signals are read only under
     the pieces that winners need. Gated pairs stay in ``pairs`` with method
-    none.
+    none. Signals are a column ``samples`` of the clips, or ``chunks`` of
+    ``chunk`` samples each.
     """
     opts = opts or SyncOptions()
-    prepared = settled(prepare(clips, opts.align), "prepared")
+    prepared = settled(prepare(clips, opts.align) if "samples" in clips.columns else prepare_chunks(clips, chunks, opts.align), "prepared")
     chunks = settled(to_chunks(clips, chunk), "chunks") if chunks is None else chunks  # read for refinement and for drift
     screened = settled(screen(prepared, opts.gates), "screened")
     pairs = settled(align(screened, prepared, chunks, opts.align, opts.gates, opts.compat, known, chunk), "pairs")
