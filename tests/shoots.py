@@ -2,6 +2,8 @@
 
 import numpy as np
 
+from chronoweave.sources.samples import FULL_RATE, on_board, part, talk  # noqa: F401
+
 RATE = 2000.0
 
 
@@ -21,41 +23,6 @@ def clip(world: np.ndarray, start: float, seconds: float, seed: int, gain: float
     return (gain * (x + 0.3 * np.roll(x, 7)) + noise * rng.normal(size=len(x))).tolist()
 
 
-#: Rate of the shoots with talk.
-FULL_RATE = 16000.0
-
-
-def talk(seconds: float, seed: int) -> np.ndarray:
-    """Voiced bursts with hard onsets that die away, a third of them silent: three harmonics and smoothed noise, at 16 kHz."""
-    rng, out = np.random.default_rng(seed), np.zeros(int(seconds * FULL_RATE))
-    at = 0
-    while at < len(out):
-        n = min(len(out) - at, int(rng.uniform(0.08, 0.53) * FULL_RATE))
-        if rng.random() > 0.35:
-            t = np.arange(n) / FULL_RATE
-            fall = np.minimum(1, t / 0.004) * np.exp(-3 * np.arange(n) / n)
-            voice = sum(g * np.sin(2 * np.pi * k * rng.uniform(90, 250) * t) for k, g in ((1, 0.5), (2, 0.25), (3, 0.12)))
-            hiss = np.convolve(rng.uniform(-1, 1, n + 4), np.full(5, 0.2), "valid")
-            out[at : at + n] = rng.uniform(0.2, 1) * fall * (0.55 * voice + 0.45 * hiss)
-        at += n
-    return out
-
-
-def on_board(x: np.ndarray, seed: int) -> list[float]:
-    """What a camera's own microphone makes of it: reflections, 250 Hz to 5 kHz, 26 dB down, noise."""
-    rng, out = np.random.default_rng(seed), x.copy()
-    for _ in range(6):
-        delay = int(rng.uniform(0.005, 0.055) * FULL_RATE)
-        out[delay:] += rng.uniform(0.1, 0.4) * x[:-delay]
-    f = np.fft.rfftfreq(len(out), 1 / FULL_RATE)
-    spectrum = np.fft.rfft(out) / np.sqrt((1 + (250 / np.maximum(f, 1e-3)) ** 2) * (1 + (f / 5000) ** 2))
-    return (0.05 * np.fft.irfft(spectrum, len(out)) + rng.uniform(-0.004, 0.004, len(out))).tolist()
-
-
-def part(world: np.ndarray, start: float, seconds: float) -> np.ndarray:
-    return world[int(start * FULL_RATE) : int((start + seconds) * FULL_RATE)]
-
-
 def rows(specs, rate=RATE):
     """(index, id, device, samples, recorded_at, source, timecode) to clips."""
     return [("p", i, name, device, name, rate, samples, timecode, at, source, None) for i, (name, device, samples, at, source, timecode) in enumerate(specs)]

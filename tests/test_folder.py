@@ -8,6 +8,7 @@ from shoots import FULL_RATE, on_board, part, talk
 
 from chronoweave.operators.features import prepare, prepare_chunks, to_chunks
 from chronoweave.plans.folder import sync_folder
+from chronoweave.plans.sync import sync
 from chronoweave.schemas import CLIPS
 from chronoweave.sources.media import write_wav
 
@@ -44,3 +45,22 @@ def test_chunks_make_no_difference(spark):
     whole = {r.clip_id: r for r in prepare(clips).collect()}
     for r in prepare_chunks(clips.drop("samples"), to_chunks(clips, 7000)).collect():
         assert r == whole[r.clip_id]
+
+
+def test_gates_make_no_difference(spark):
+    """Gates change which pairs are compared and not what is accepted; starts are true."""
+    from chronoweave.options import GateOptions, SyncOptions
+    from chronoweave.sources.samples import sample_shoot
+    from chronoweave.storage import settled
+
+    clips, chunks = sample_shoot(spark, devices=3, takes=2, seconds=30.0, span=9000.0, chunk=100_000)
+    chunks, accepted, compared = settled(chunks, "shoot"), {}, {}
+    for timed in (True, False):
+        out = sync(clips.drop("take", "device", "start"), SyncOptions(gates=GateOptions(by_recording_time=timed), detect_drift=False), chunks, chunk=100_000)
+        accepted[timed] = {(r.a_id, r.b_id) for r in out.pairs.where("accepted").collect()}
+        compared[timed] = out.stats.first().aligned_pairs
+    assert accepted[True] == accepted[False] == {(f"take{t}-dev{a}", f"take{t}-dev{b}") for t in range(2) for a in range(3) for b in range(a + 1, 3)}
+    assert compared == {True: 6, False: 12}
+    start = {r.clip_id: r.start_seconds for r in out.placements.collect()}
+    for r in clips.collect():
+        assert abs(start[r.clip_id] - start[f"take{r['take']}-dev0"] - 7.5 * r.device) < 2e-3
