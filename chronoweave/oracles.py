@@ -15,7 +15,7 @@ g AS (SELECT DISTINCT event_type, CAST(floor(h / 24.0) AS BIGINT) AS day FROM e)
 v AS (SELECT g.event_type || '/' || g.day AS clip_id, k AS i, coalesce(e.x, 0.0::DOUBLE) AS x FROM g CROSS JOIN (SELECT unnest(range(0, 24)) AS k) LEFT JOIN e ON e.event_type = g.event_type AND e.h = g.day * 24 + k)"""
 _LINES = "li AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice) AS line FROM lineitem)"
 _RECORDINGS = f"""{_LINES}, c AS (SELECT CAST(l_partkey AS VARCHAR) AS project_id, l_orderkey * 100 + line AS clip_index, l_orderkey || '-' || line AS clip_id, CAST(l_suppkey AS VARCHAR) AS track_id,
-l_quantity * 60.0::DOUBLE AS d, CASE WHEN l_returnflag <> 'N' THEN floor(epoch(l_shipdate)) / 5000.0::DOUBLE END AS t FROM li)"""
+l_quantity * 60.0::DOUBLE AS d, floor(epoch(l_shipdate)) / 5000.0::DOUBLE AS took_at, CASE WHEN l_returnflag <> 'N' THEN floor(epoch(l_shipdate)) / 5000.0::DOUBLE END AS t FROM li)"""
 _SCREEN = f"""{_RECORDINGS}, p AS (SELECT a.project_id, a.clip_index AS i, b.clip_index AS j, a.clip_id AS a_id, b.clip_id AS b_id, a.track_id AS a_track, b.track_id AS b_track,
 coalesce(a.t - a.d - 3600 <= b.t + b.d + 3600 AND b.t - b.d - 3600 <= a.t + a.d + 3600, true) AS allowed FROM c a JOIN c b ON a.project_id = b.project_id AND a.clip_index < b.clip_index),
 e1 AS (SELECT project_id, i AS k, allowed FROM p WHERE a_track <> b_track UNION ALL SELECT project_id, j, allowed FROM p WHERE a_track <> b_track),
@@ -63,7 +63,7 @@ _CARD = "".join(
 )
 _FIRST_RUN = "coalesce(list_min(list_filter(range(1, len(low)), lambda i: low[i] = '{}' AND low[i + 1] = '{}')), 0)"
 _DEVICE = "coalesce(nullif(regexp_extract(bare, '^([A-Za-z][0-9]{3})[A-Za-z][0-9]{3,4}', 1), ''), nullif(regexp_extract(bare, '^([^_.-]*[A-Za-z][^_.-]*)[_.-]', 1), ''), nullif(regexp_extract(bare, '^([A-Za-z]{2,})', 1), ''), nullif(regexp_extract(bare, '^([A-Za-z])[0-9]+$', 1), ''))"
-_SPANS = "sp AS (SELECT project_id || '/' || track_id AS g, clip_id AS id, t AS s, t + d AS e FROM c WHERE t IS NOT NULL), pr AS (SELECT *, lag(id) OVER o AS prior_id, lag(e) OVER o AS prior_end FROM sp WINDOW o AS (PARTITION BY g ORDER BY s, id))"
+_SPANS = "sp AS (SELECT project_id || '/' || track_id AS g, clip_id AS id, took_at AS s, took_at + d AS e FROM c), pr AS (SELECT *, lag(id) OVER o AS prior_id, lag(e) OVER o AS prior_end FROM sp WINDOW o AS (PARTITION BY g ORDER BY s, id))"
 
 ORACLE_SQL = {
     "pair_lag_pearson": f"WITH {_LAGS}, r AS (SELECT a_id, b_id, lag, round(r, 9) AS r FROM l WHERE n >= 24) SELECT a_id, b_id, CAST(arg_min(lag, [-r, lag]) AS BIGINT) AS lag, round(max(r), 6) AS r FROM r GROUP BY ALL",

@@ -55,11 +55,12 @@ def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def recordings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lines of orders as clips without signal: a part is a project, its supplier the device, and seven years are pressed into times that meet."""
+    """Lines of orders as clips without signal: a part is a project, its supplier the device, and seven years are pressed into times that meet. ``recorded_at`` is there for all, trusted or not."""
+    at = F.unix_timestamp("l_shipdate") / 5000.0
     return lines(spark, sf_dir).select(
         F.col("l_partkey").cast("string").alias("project_id"), (F.col("l_orderkey") * 100 + F.col("line")).alias("clip_index"),
         F.concat_ws("-", F.col("l_orderkey").cast("string"), F.col("line").cast("string")).alias("clip_id"), F.col("l_suppkey").cast("string").alias("track_id"),
-        (F.col("l_quantity") * 60.0).alias("duration_seconds"), F.when(F.col("l_returnflag") != "N", F.unix_timestamp("l_shipdate") / 5000.0).alias("trusted_at"),
+        (F.col("l_quantity") * 60.0).alias("duration_seconds"), at.alias("recorded_at"), F.when(F.col("l_returnflag") != "N", at).alias("trusted_at"),
     )
 
 

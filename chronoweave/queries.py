@@ -78,14 +78,14 @@ def gate_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def device_overlap_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    clips = recordings(spark, sf_dir).where("trusted_at IS NOT NULL")
-    spans = clips.select(F.concat_ws("/", "project_id", "track_id").alias("device"), F.col("clip_id").alias("id"), F.col("trusted_at").alias("start"), (F.col("trusted_at") + F.col("duration_seconds")).alias("end"))
+    clips = recordings(spark, sf_dir)
+    spans = clips.select(F.concat_ws("/", "project_id", "track_id").alias("device"), F.col("clip_id").alias("id"), F.col("recorded_at").alias("start"), (F.col("recorded_at") + F.col("duration_seconds")).alias("end"))
     return gates.overlapping_neighbours(spans, ["device"], 0.02).select("device", "prior_id", "id", _r("overlap", 3).alias("overlap"))
 
 
 def hidden_clips(spark: SparkSession, sf_dir: str) -> DataFrame:
-    clips = recordings(spark, sf_dir).where("trusted_at IS NOT NULL")
-    return summary.hidden_clips(clips.select(F.concat_ws("/", "project_id", "track_id").alias("track"), F.col("clip_id").alias("id"), F.col("trusted_at").alias("start"), (F.col("trusted_at") + F.col("duration_seconds")).alias("end")))
+    clips = recordings(spark, sf_dir)
+    return summary.hidden_clips(clips.select(F.concat_ws("/", "project_id", "track_id").alias("track"), F.col("clip_id").alias("id"), F.col("recorded_at").alias("start"), (F.col("recorded_at") + F.col("duration_seconds")).alias("end")))
 
 
 # --- the solve ----------------------------------------------------------------------------------------------
@@ -261,8 +261,8 @@ def rate_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def lane_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = recordings(spark, sf_dir).where("trusted_at IS NOT NULL")
-    return lanes.assign_lanes(rows.select("project_id", F.col("clip_id").alias("id"), F.concat(F.lit("d"), F.col("track_id").cast("long") % 7).alias("device"), F.col("trusted_at").alias("start"), F.col("duration_seconds").alias("duration"), (F.col("clip_index") % 3 != 0).alias("video"), F.lit(True).alias("audio"), (F.col("clip_index") % 2 + 1).alias("channels")))
+    rows = recordings(spark, sf_dir)
+    return lanes.assign_lanes(rows.select("project_id", F.col("clip_id").alias("id"), F.concat(F.lit("d"), F.col("track_id").cast("long") % 7).alias("device"), F.col("recorded_at").alias("start"), F.col("duration_seconds").alias("duration"), (F.col("clip_index") % 3 != 0).alias("video"), F.lit(True).alias("audio"), (F.col("clip_index") % 2 + 1).alias("channels")))
 
 
 QUERIES = {
