@@ -68,6 +68,14 @@ def rescue(pairs: DataFrame) -> DataFrame:
     return pairs
 
 
+def screen_pair(opts: GateOptions | None = None) -> Column:
+    """Why a row of :func:`all_pairs` need not be compared, without rescue: same-device, recording-time, or null. The envelope bound, which needs signals, is judged where pairs are matched."""
+    opts = opts or GateOptions()
+    device = F.lit(False) if opts.allow_same_device else same_device()
+    late = ~could_meet(opts.slop) if opts.by_recording_time else F.lit(False)
+    return F.when(device, "same-device").when(late, "recording-time")
+
+
 def screen(clips: DataFrame, opts: GateOptions | None = None) -> DataFrame:
     """All pairs with ``skipped``: same-device, recording-time, or null where they are to be compared. None is dropped."""
     opts = opts or GateOptions()

@@ -27,8 +27,34 @@ def best_pair_per_clip(pairs: DataFrame) -> DataFrame:
 
 
 def near_misses(pairs: DataFrame, limit: int = 25) -> DataFrame:
-    """The best pairs that were not accepted, with the reason."""
-    return pairs.where("NOT accepted AND method <> 'none'").withColumn("reason", rejection_reason()).orderBy(F.desc("quality"), "a_id", "b_id").limit(limit)
+    """The best pairs of each project that were not accepted, ``limit`` at most, with the reason."""
+    order = Window.partitionBy("project_id").orderBy(F.desc("quality"), "a_id", "b_id")
+    missed = pairs.where("NOT accepted AND method <> 'none'").withColumn("reason", rejection_reason())
+    return missed.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= limit)
+
+
+def worst_disagreements(errors: DataFrame) -> DataFrame:
+    """Disagreements with their ``rank`` in the project, the largest error first."""
+    order = Window.partitionBy("project_id").orderBy(F.desc(F.abs("error_seconds")), "a_id", "b_id", "kind")
+    return errors.withColumn("rank", F.row_number().over(order))
+
+
+def implausible_drift(placements: DataFrame, ppm: float = 500.0) -> DataFrame:
+    """Clips whose measured drift no clock has: failed measurements."""
+    return placements.where(F.abs("drift_ppm") > ppm).select("project_id", "clip_id", "drift_ppm")
+
+
+def audio_bytes(prepared: DataFrame) -> DataFrame:
+    """(project_id, bytes): size of a project's signals as doubles."""
+    return prepared.groupBy("project_id").agg((F.sum("n_samples") * 8).cast("long").alias("bytes"))
+
+
+def layout_counts(timeline: DataFrame) -> DataFrame:
+    """(project_id, video_tracks, audio_tracks, clips, no_lane): lanes of a timeline, and clips that have none."""
+    return timeline.groupBy("project_id").agg(
+        F.count_distinct("video_track_id").alias("video_tracks"), F.count_distinct("audio_track_id").alias("audio_tracks"), F.count("*").alias("clips"),
+        F.count_if(F.col("video_track_id").isNull() & F.col("audio_track_id").isNull()).cast("long").alias("no_lane"),
+    )
 
 
 def device_summary(clips: DataFrame) -> DataFrame:

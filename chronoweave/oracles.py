@@ -73,6 +73,7 @@ ORACLE_SQL = {
     "remove_dc_rms": f"WITH {_HOURLY}, c AS (SELECT clip_id, i, x - avg(x) OVER (PARTITION BY clip_id) AS x FROM v), r AS (SELECT *, sqrt(avg(x * x) OVER (PARTITION BY clip_id)) AS s FROM c) SELECT clip_id, CAST(i AS BIGINT) AS i, round(CASE WHEN s > 0 THEN x / s ELSE x END, 6) AS x FROM r",
     "peak_summary": f"WITH {_HOURLY}, b AS (SELECT clip_id, CAST(floor(i * 6 / 24.0) AS BIGINT) AS bucket, max(abs(x)) AS peak FROM v GROUP BY ALL) SELECT clip_id, bucket, round(CASE WHEN max(peak) OVER w > 0 THEN peak / max(peak) OVER w ELSE peak END, 6) AS peak FROM b WINDOW w AS (PARTITION BY clip_id)",
     "recording_time_gate": f"WITH {_RECORDINGS} SELECT a.clip_id AS a_id, b.clip_id AS b_id FROM c a JOIN c b ON a.project_id = b.project_id AND a.clip_index < b.clip_index AND a.track_id <> b.track_id AND (a.t IS NULL OR b.t IS NULL OR (a.t - a.d - 3600 <= b.t + b.d + 3600 AND b.t - b.d - 3600 <= a.t + a.d + 3600))",
+    "pair_screen": f"WITH {_RECORDINGS} SELECT a.clip_id AS a_id, b.clip_id AS b_id, CASE WHEN a.track_id = b.track_id THEN 'same-device' WHEN a.t IS NULL OR b.t IS NULL OR (a.t - a.d - 3600 <= b.t + b.d + 3600 AND b.t - b.d - 3600 <= a.t + a.d + 3600) THEN 'compared' ELSE 'recording-time' END AS verdict FROM c a JOIN c b ON a.project_id = b.project_id AND a.clip_index < b.clip_index",
     "gate_rescue": f"WITH {_SCREEN} SELECT a_id, b_id, verdict FROM s",
     "gate_stats": f"WITH {_SCREEN} SELECT project_id, count(*) AS total_pairs, count(*) FILTER (verdict = 'compared') AS aligned_pairs, count(*) FILTER (verdict = 'same-device') AS skipped_same_device, count(*) FILTER (verdict = 'recording-time') AS skipped_by_recording_time FROM s GROUP BY ALL",
     "device_overlap_report": f"WITH {_RECORDINGS}, {_SPANS} SELECT g AS device, prior_id, id, round(prior_end - s, 3) AS overlap FROM pr WHERE prior_end - s > 0.02",

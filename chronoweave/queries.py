@@ -77,6 +77,12 @@ def gate_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gates.gate_stats(_screened(spark, sf_dir)).select("project_id", "total_pairs", "aligned_pairs", "skipped_same_device", "skipped_by_recording_time")
 
 
+def pair_screen(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every pair of recordings of a project with the reason not to compare it, without rescue."""
+    pairs = gates.all_pairs(recordings(spark, sf_dir))
+    return pairs.select(F.col("a_clip_id").alias("a_id"), F.col("b_clip_id").alias("b_id"), F.coalesce(gates.screen_pair(), F.lit("compared")).alias("verdict"))
+
+
 def device_overlap_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     clips = recordings(spark, sf_dir)
     spans = clips.select(F.concat_ws("/", "project_id", "track_id").alias("device"), F.col("clip_id").alias("id"), F.col("recorded_at").alias("start"), (F.col("recorded_at") + F.col("duration_seconds")).alias("end"))
@@ -268,7 +274,7 @@ def lane_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        sync_solve, sync_pairs, pair_lag_pearson, pair_xcorr_peak, log_energy_envelope, fir_decimate, remove_dc_rms, peak_summary, recording_time_gate, gate_rescue, gate_stats, device_overlap_report, hidden_clips,
+        sync_solve, sync_pairs, pair_lag_pearson, pair_xcorr_peak, log_energy_envelope, fir_decimate, remove_dc_rms, peak_summary, recording_time_gate, pair_screen, gate_rescue, gate_stats, device_overlap_report, hidden_clips,
         edge_score_rank, rejection_reason, quality_distribution, best_pair_per_clip, drift_regression, timeline_layout, sync_components, filename_prefix, card_device, extension_class, sanitise, group_clips,
         upsert_merge, changed_files, relink_tiers, idslug_escape, path_to_url, smpte_ndf, smpte_df, timecode_parse, frame_size_mode, frame_rate_mode, device_summary, rate_histogram, lane_packing,
     )

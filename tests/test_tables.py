@@ -126,3 +126,55 @@ def test_stream_equals_whole(spark, tmp_path):
     query.stop()
     got = spark.table("out").where("clip_id = 'a'").orderBy("start_sample").collect()
     assert np.allclose(np.concatenate([r.samples for r in got]), decimate(x, 3))
+
+
+def test_report_figures(spark):
+    """Ranks by project, drift that no clock has, sizes, lanes, and figures of clips that could not sync."""
+    from chronoweave.operators import summary
+
+    pairs = spark.createDataFrame([(p, "a", f"b{k:02d}", k / 100, 9.0, 5.0, "waveform", False) for p in "xy" for k in range(30)], "project_id string, a_id string, b_id string, quality double, psr double, overlap_seconds double, method string, accepted boolean")
+    missed = summary.near_misses(pairs).collect()
+    assert len(missed) == 50 and {r.b_id for r in missed if r.rank == 1} == {"b29"}
+    errors = spark.createDataFrame([("x", "a", "b", 0.03, "m"), ("x", "a", "c", -9.0, "m"), ("x", "b", "c", 0.5, "m")], "project_id string, a_id string, b_id string, error_seconds double, kind string")
+    assert [r.error_seconds for r in summary.worst_disagreements(errors).orderBy("rank").collect()] == [-9.0, 0.5, 0.03]
+    assert tuple(summary.disagreement_counts(errors, 0.04).first()) == ("x", 2, 1)
+    placed = spark.createDataFrame([("x", "a", 0.0, True, 0, 700.0), ("x", "b", 5.0, True, 0, -20.0), ("x", "c", 20.0, False, 1, None), ("x", "d", 30.0, False, 2, None)], "project_id string, clip_id string, start_seconds double, synced boolean, group_id int, drift_ppm double")
+    assert [r.clip_id for r in summary.implausible_drift(placed).collect()] == ["a"]
+    clips = spark.createDataFrame([("x", "a", 10.0, "A", 100), ("x", "b", 10.0, "B", 50), ("x", "c", 2.0, "B", 7), ("x", "d", 10.0, "B", 0)], "project_id string, clip_id string, duration_seconds double, device string, n_samples long")
+    assert summary.audio_bytes(clips).first().bytes == 157 * 8
+    assert [r.clip_id for r in summary.too_short(placed, clips).collect()] == ["c"] and summary.can_sync(clips).first().can_sync
+    assert [(r.clips, r.members) for r in summary.islands(placed).collect()] == [(2, "a,b")]
+    edges = {r.clip_id: (r.left, r.width) for r in summary.timeline_percent(placed, clips).collect()}
+    assert edges["b"] == (12.5, 25.0) and edges["d"] == (75.0, 25.0)
+    lanes_of = spark.createDataFrame([("x", "V1", None), ("x", "V1", "A1"), ("x", None, None)], "project_id string, video_track_id string, audio_track_id string")
+    assert tuple(summary.layout_counts(lanes_of).first()) == ("x", 1, 1, 3, 1)
+
+
+def test_devices_by_hand_and_in_order(spark):
+    files = spark.createDataFrame([("x", "1", "r/1.wav", False), ("x", "2", "c/2.mp4", True), ("x", "3", "c/3.mp4", True)], "project_id string, clip_id string, path string, has_video boolean")
+    assigned = spark.createDataFrame([("x", "1", "REC", "directory"), ("x", "2", "CAM", "directory")], "project_id string, clip_id string, device_id string, basis string")
+    by_hand = spark.createDataFrame([("x", "2", "MINE")], "project_id string, clip_id string, device_id string")
+    assert {r.clip_id: r.device_id for r in devices.device_of(files, assigned, by_hand).collect()} == {"1": "REC", "2": "MINE", "3": "DEVICE"}
+    assert [r.device_id for r in devices.device_order(assigned, files).orderBy("ordinal").collect()] == ["CAM", "REC"]
+    one = spark.createDataFrame([("y", "1", "CAM", "b"), ("y", "2", "CAM", "b")], assigned.schema)
+    assert "two are needed" in devices.grouping_warnings(one, files.limit(0)).first().warning
+
+
+def test_lanes_hold_no_overlaps(spark):
+    """Clips of a lane never overlap while the budget lasts, and every clip has the lanes that it needs."""
+    import numpy as np
+
+    rng = np.random.default_rng(8)
+    rows = [(f"p{p}", f"c{k}", f"d{rng.integers(5)}", float(rng.integers(60)), float(rng.integers(1, 20)), bool(rng.random() < 0.6), True, int(rng.integers(1, 3))) for p in range(4) for k in range(25)]
+    df = spark.createDataFrame(rows, "project_id string, id string, device string, start double, duration double, video boolean, audio boolean, channels int")
+    got = {(r.project_id, r.id): r for r in lanes.assign_lanes(df, TrackLimits(100, 100)).collect()}
+    lane = {}
+    for p, i, _, start, size, video, _, _ in rows:
+        r = got[(p, i)]
+        assert (r.video_track_id is not None) == video and r.audio_track_id is not None
+        for key in (r.video_track_id, r.audio_track_id):
+            if key:
+                lane.setdefault((p, key), []).append((start, start + size))
+    for spans in lane.values():
+        spans.sort()
+        assert all(a[1] <= b[0] for a, b in zip(spans, spans[1:]))
