@@ -14,6 +14,9 @@ SELECT = np.zeros((256, 8), np.int64)
 for _k in range(8):
     SELECT[:, _k] = (np.cumsum(_ONES, axis=1) > _k).argmax(axis=1)
 
+#: Words of repeated bit patterns: 01, 0011, 00001111, 00000001 and 10000000.
+_HALVES, _QUARTERS, _EIGHTHS, _EACH, _TOPS = (np.uint64((2**64 - 1) // d * m) for d, m in ((3, 1), (5, 1), (17, 1), (255, 1), (255, 128)))
+
 
 class BitVector:
     """Bits with select for ones and for zeros."""
@@ -36,14 +39,25 @@ class BitVector:
         ranks = np.asarray(self.ranks) if one else np.arange(len(self.ranks)) * BLOCK - self.ranks
         block = np.searchsorted(ranks, k, side="right") - 1
         left = k - ranks[block]
-        width = BLOCK // 8
-        rows = self.data.reshape(-1, width)[block]
-        rows = rows if one else ~rows
-        total = np.cumsum(np.bitwise_count(rows), axis=1, dtype=np.uint16)
-        byte = (total > left[:, None].astype(np.uint16)).argmax(axis=1)
-        at = np.arange(len(k))
-        before = np.where(byte > 0, total[at, np.maximum(byte - 1, 0)], 0).astype(np.int64)
-        return block * BLOCK + byte * 8 + SELECT[rows[at, byte], left - before]
+        flip = np.uint64(0 if one else 0xFFFFFFFFFFFFFFFF)
+        words, at = self.data.view("<u8"), block * (BLOCK // 64)
+        bits = words[at] ^ flip
+        for _ in range(BLOCK // 64 - 1):
+            ones = np.bitwise_count(bits)
+            on = np.flatnonzero(left >= ones)
+            if not len(on):
+                break
+            left[on] -= ones[on]
+            at[on] += 1
+            bits[on] = words[at[on]] ^ flip
+        # ones up to each byte of a word, added in parallel
+        sums = bits - ((bits >> np.uint64(1)) & _HALVES)
+        sums = (sums & _QUARTERS) + ((sums >> np.uint64(2)) & _QUARTERS)
+        sums = ((sums + (sums >> np.uint64(4))) & _EIGHTHS) * _EACH
+        passed = ((((left.astype(np.uint64) * _EACH) | _TOPS) - sums) & _TOPS) >> np.uint64(7)
+        shift = ((passed * _EACH) >> np.uint64(56)) << np.uint64(3)
+        left -= (((sums << np.uint64(8)) >> shift) & np.uint64(255)).astype(np.int64)
+        return at * 64 + shift.astype(np.int64) + SELECT[((bits >> shift) & np.uint64(255)).astype(np.int64), left]
 
 
 class EliasFano:
@@ -81,17 +95,21 @@ class EliasFano:
 
     def find(self, values: np.ndarray) -> np.ndarray:
         """The first place with at least each value (its successor); values lie below the universe."""
+        return self._find(values)[0]
+
+    def _find(self, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Those places, and where the values with the same high bits end."""
         if not len(values):
-            return np.zeros(0, np.int64)
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
         bucket = values >> self.low_bits
         start = np.where(bucket > 0, self.high.select(np.maximum(bucket - 1, 0), False) + 1 - bucket, 0)
         end = self.high.select(bucket, False) - bucket
         wanted = values & ((1 << self.low_bits) - 1)
-        lo, hi = start.copy(), end.copy()
+        lo, hi = start, end.copy()
         while True:
             open_ = np.flatnonzero(lo < hi)
             if not len(open_):
-                return lo
+                return lo, end
             mid = (lo[open_] + hi[open_]) >> 1
             less = self._lows(mid) < wanted[open_]
             lo[open_[less]] = mid[less] + 1
@@ -99,9 +117,9 @@ class EliasFano:
 
     def contains(self, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Places as :meth:`find` gives them, and whether the values are there."""
-        at = self.find(values)
-        there = at < self.n
-        there[there] = self.access(at[there]) == values[there]
+        at, end = self._find(values)
+        there = at < end
+        there[there] = self._lows(at[there]) == values[there] & ((1 << self.low_bits) - 1)
         return at, there
 
 

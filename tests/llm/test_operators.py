@@ -56,16 +56,20 @@ def test_language_model(make, odd, monkeypatch):
     rows = [(r.doc_id, (r.text or "").encode().lower().split() + [b"\n"]) for r in docs.collect()]
     crc = lambda i: zlib.crc32(("" if i is None else str(i)).encode())
     train = [w for i, w in rows if crc(i) % 10]
-    c, b = Counter(), Counter()
+    c, b, t = Counter(), Counter(), Counter()
     for w in train:
         c.update(w)
         b.update(zip([b"\n", *w], w))
+        t.update(zip([b"\n", *w], w, w[1:]))
     n, v = sum(c.values()), len(c)
     own = lambda w: (c[w] + 0.1) / (n + 0.1 * (v + 1))
     want = []
     for i, w in rows:
         base = sum(math.log10(own(x)) for x in w)
-        full = sum(math.log10((b[(h, x)] + lm.STRENGTH * own(x)) / (c[h] + lm.STRENGTH)) for h, x in zip([b"\n", *w], w))
+        after = [(b[(h, x)] + lm.STRENGTH * own(x)) / (c[h] + lm.STRENGTH) for h, x in zip([b"\n", *w], w)]
+        pairs = list(zip([b"\n", *w], w))
+        after[1:] = [(t[(*h, x)] + lm.PAIR_STRENGTH * p) / (b[h] + lm.PAIR_STRENGTH) for h, x, p in zip(pairs, w[1:], after[1:])]
+        full = sum(map(math.log10, after))
         want.append((i is None, i or 0, len(w), sum(c[x] > 0 for x in w), round(base, 6), full))
     got = [(r.doc_id is None, r.doc_id or 0, r.n_tokens, r.n_known, round(r.base_score, 6), r.score, r.train_tokens) for r in lm.score_corpus(docs).collect()]
     for w, g in zip(sorted(want), sorted(got)):
