@@ -120,3 +120,13 @@ SELECT path, found, 'exact' AS tier FROM m1 UNION ALL SELECT path, found, 'moved
     "device_summary": "SELECT l_suppkey AS device, count(*) AS clips, round(sum(l_quantity) / 60, 6) AS minutes, count(DISTINCT l_returnflag || l_linestatus) AS formats FROM lineitem GROUP BY ALL",
     "rate_histogram": f"WITH {_PICTURES} SELECT project_id, round(rate, 3) AS frame_rate, count(*) AS clips FROM pic GROUP BY ALL",
 }
+
+_LAYOUT = ORACLE_SQL["timeline_layout"]
+_QUANTITIES = f"{_LINES}, d AS (SELECT CAST(l_suppkey AS VARCHAR) AS project_id, l_orderkey || '-' || line AS clip_id, l_quantity AS duration_seconds FROM li)"
+ORACLE_SQL |= {
+    "islands": f"WITH r AS (SELECT *, split_part(clip_id, '-', 1) AS group_id, row_number() OVER (PARTITION BY project_id, split_part(clip_id, '-', 1) ORDER BY start_seconds, clip_id) AS nth FROM ({_LAYOUT}) WHERE synced) SELECT project_id, group_id, count(*) AS clips, string_agg(clip_id, ',' ORDER BY nth) FILTER (nth <= 8) AS members FROM r GROUP BY project_id, group_id",
+    "timeline_percent": f"WITH {_QUANTITIES}, j AS (SELECT l.project_id, l.clip_id, start_seconds, duration_seconds, greatest(max(start_seconds + duration_seconds) OVER (PARTITION BY l.project_id), 1e-9::DOUBLE) AS total FROM ({_LAYOUT}) l JOIN d ON d.project_id = l.project_id AND d.clip_id = l.clip_id) SELECT project_id, clip_id, round(100 * start_seconds / total, 6) AS left_edge, round(100 * duration_seconds / total, 6) AS width FROM j",
+    "too_short": f"WITH {_QUANTITIES} SELECT l.project_id, l.clip_id, duration_seconds FROM ({_LAYOUT}) l JOIN d ON d.project_id = l.project_id AND d.clip_id = l.clip_id WHERE NOT synced AND duration_seconds < 3",
+    "can_sync": f"WITH {_RECORDINGS} SELECT project_id, count(*) AS clips, count(DISTINCT track_id) AS devices, count(*) >= 2 AND count(DISTINCT track_id) >= 2 AS can_sync FROM c GROUP BY project_id",
+    "disagreement_counts": f"WITH {_MADE} SELECT project_id, count(*) FILTER (abs(psr - 6) >= 0.5) AS over_frame, count(*) FILTER (abs(psr - 6) < 0.5) AS sub_frame FROM m GROUP BY project_id",
+}

@@ -169,6 +169,34 @@ def sync_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("project_id", "clip_index", F.min("clip_index").over(least).alias("root"))
 
 
+def _placed(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    """The layout of lines with their orders as groups, and the lines' durations."""
+    placements = timeline_layout(spark, sf_dir).withColumn("group_id", F.split("clip_id", "-")[0])
+    clips = lines(spark, sf_dir).select(F.col("l_suppkey").cast("string").alias("project_id"), F.concat_ws("-", F.col("l_orderkey").cast("string"), F.col("line").cast("string")).alias("clip_id"), F.col("l_quantity").alias("duration_seconds"))
+    return placements, clips
+
+
+def islands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return summary.islands(_placed(spark, sf_dir)[0])
+
+
+def timeline_percent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return summary.timeline_percent(*_placed(spark, sf_dir)).select("project_id", "clip_id", _r("left").alias("left_edge"), _r("width").alias("width"))
+
+
+def too_short(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return summary.too_short(*_placed(spark, sf_dir)).select("project_id", "clip_id", "duration_seconds")
+
+
+def can_sync(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return summary.can_sync(recordings(spark, sf_dir).withColumnRenamed("track_id", "device")).select("project_id", "clips", "devices", "can_sync")
+
+
+def disagreement_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Distances of the made-up peaks from the least that is accepted, as errors against frames of half a second."""
+    return summary.disagreement_counts(_made_pairs(spark, sf_dir).withColumn("error_seconds", F.col("psr") - 6), 0.5).select("project_id", "over_frame", "sub_frame")
+
+
 # --- devices, files, names ----------------------------------------------------------------------------------
 
 
@@ -275,7 +303,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         sync_solve, sync_pairs, pair_lag_pearson, pair_xcorr_peak, log_energy_envelope, fir_decimate, remove_dc_rms, peak_summary, recording_time_gate, pair_screen, gate_rescue, gate_stats, device_overlap_report, hidden_clips,
-        edge_score_rank, rejection_reason, quality_distribution, best_pair_per_clip, drift_regression, timeline_layout, sync_components, filename_prefix, card_device, extension_class, sanitise, group_clips,
+        edge_score_rank, rejection_reason, quality_distribution, best_pair_per_clip, drift_regression, timeline_layout, sync_components, islands, timeline_percent, too_short, can_sync, disagreement_counts, filename_prefix, card_device, extension_class, sanitise, group_clips,
         upsert_merge, changed_files, relink_tiers, idslug_escape, path_to_url, smpte_ndf, smpte_df, timecode_parse, frame_size_mode, frame_rate_mode, device_summary, rate_histogram, lane_packing,
     )
 }
