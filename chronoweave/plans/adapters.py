@@ -69,7 +69,9 @@ def paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages")
     folder = F.regexp_replace(F.regexp_replace("url", "^[a-z]+://", ""), "[?#].*$", "")
     kind = F.element_at(F.array(*[F.lit(x) for x in ("MP4", "wav", "mov", "mp3", "txt")]), (F.col("page_id") % 5 + 1).cast("int"))
-    name = F.concat(F.element_at(F.array(*[F.lit(x) for x in ("C2_", "A001C0", "clip", "Z", "01 ", "GX-")]), (F.col("page_id") % 6 + 1).cast("int")), F.lpad(F.col("page_id").cast("string"), 4, "0"), F.lit("."), kind)
+    number = F.col("page_id").cast("string")
+    padded = F.lpad(number, F.greatest(F.lit(4), F.length(number)), F.lit("0"))  # lpad cuts what is longer
+    name = F.concat(F.element_at(F.array(*[F.lit(x) for x in ("C2_", "A001C0", "clip", "Z", "01 ", "GX-")]), (F.col("page_id") % 6 + 1).cast("int")), padded, F.lit("."), kind)
     card = F.when(F.col("page_id") % 7 == 0, F.lit("/PRIVATE/AVCHD")).when(F.col("page_id") % 7 == 1, F.lit("/DCIM")).when(F.col("page_id") % 7 == 2, F.lit("/Contents/CLIP")).otherwise(F.lit(""))
     return pages.select(
         "page_id", F.concat(folder, card, F.lit("/"), name).alias("path"), F.length("html").cast("long").alias("size"), (F.col("page_id") * 1000).cast("long").alias("modified"), (F.col("page_id") % 4 != 0).alias("has_video")
