@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -10,22 +12,29 @@ from ..options import GateOptions
 _META = ("clip_index", "clip_id", "track_id", "duration_seconds", "trusted_at")
 
 
-def all_pairs(clips: DataFrame) -> DataFrame:
-    """Every pair i < j of a project, by metadata alone: columns of both sides with a_ and b_ before their names."""
-    one = lambda p: clips.select("project_id", *[F.col(c).alias(f"{p}_{c}") for c in _META])
+def all_pairs(clips: DataFrame, more: tuple[str, ...] = ()) -> DataFrame:
+    """Every pair i < j of a project, by metadata alone: columns of both sides with a_ and b_ before their names, ``more`` among them."""
+    one = lambda p: clips.select("project_id", *[F.col(c).alias(f"{p}_{c}") for c in (*_META, *more)])
     return one("a").join(one("b"), "project_id").where("a_clip_index < b_clip_index")
 
 
-def same_device() -> Column:
-    """A clip without a device is its own device."""
-    return F.coalesce(F.col("a_track_id") == F.col("b_track_id"), F.lit(False))
+def _sided(p: str) -> Callable[[str], Column]:
+    return lambda c: F.col(f"{p}_{c}")
+
+
+_A, _B = _sided("a"), _sided("b")
+
 
+def same_device(a: Callable[[str], Column] = _A, b: Callable[[str], Column] = _B) -> Column:
+    """A clip without a device is its own device. ``a`` and ``b`` give the columns of either clip."""
+    return F.coalesce(a("track_id") == b("track_id"), F.lit(False))
 
-def could_meet(slop: float) -> Column:
+
+def could_meet(slop: float, a: Callable[[str], Column] = _A, b: Callable[[str], Column] = _B) -> Column:
     """Whether the spans in which two clips may have been recorded touch; true where a time is missing."""
-    low = lambda p: F.col(f"{p}_trusted_at") - F.col(f"{p}_duration_seconds") - slop
-    high = lambda p: F.col(f"{p}_trusted_at") + F.col(f"{p}_duration_seconds") + slop
-    return F.coalesce((low("a") <= high("b")) & (low("b") <= high("a")), F.lit(True))
+    low = lambda c: c("trusted_at") - c("duration_seconds") - slop
+    high = lambda c: c("trusted_at") + c("duration_seconds") + slop
+    return F.coalesce((low(a) <= high(b)) & (low(b) <= high(a)), F.lit(True))
 
 
 def time_candidates(clips: DataFrame, slop: float, bin_seconds: float = 7200.0) -> DataFrame:
@@ -48,24 +57,28 @@ def time_candidates(clips: DataFrame, slop: float, bin_seconds: float = 7200.0)
     return met.unionByName(turned).where(~same_device()).drop("a_low", "a_high", "b_low", "b_high")
 
 
-def rescue(pairs: DataFrame) -> DataFrame:
-    """``allowed`` after two rescues, each from what the one before left.
+def rescue(clips: DataFrame, slop: float) -> DataFrame:
+    """``clips`` with ``freed``: whether the clock keeps a clip from all clips of other devices, of which there are some; the clock, not the clip, is wrong.
+
+    Clips are judged by the original table, so their order does not matter; a
+    clip_index is there once in its project. A device whose clips all are kept
+    from others needs no rescue of its own: each of its clips is let off.
 
-    A clip that the clock keeps from all clips of other devices is let off, as
-    is then a device whose clips all are: the clock, not the clip, is wrong.
-    Clips are judged by the original table, so their order does not matter.
+    A project's clips are gathered once and looked through until one is found
+    that could meet, so that no table of pairs is moved. Rows stay dealt by
+    project_id.
     """
-    other = ~same_device()
-    device = lambda p: F.coalesce(F.concat(F.lit("d:"), F.col(f"{p}_track_id")), F.concat(F.lit("c:"), F.col(f"{p}_clip_index")))
+    rows = clips.where("project_id IS NOT NULL").select("project_id", *_META).repartition("project_id")
+    every = rows.groupBy("project_id").agg(F.collect_list(F.struct(*_META)).alias("_all"))
+
+    def judged(x: Column) -> Column:
+        mine = lambda c: x[c]
+        other = lambda y: (mine("clip_index") != y["clip_index"]) & ~same_device(mine, lambda c: y[c])
+        met = F.exists("_all", lambda y: other(y) & could_meet(slop, mine, lambda c: y[c]))
+        freed = ~F.coalesce(met, F.lit(False)) & F.coalesce(F.exists("_all", other), F.lit(False))
+        return F.struct(*[x[c].alias(c) for c in _META], freed.alias("freed"))
 
-    for key in (lambda p: F.col(f"{p}_clip_index").cast("string"), device):
-        ends = pairs.where(other).select("project_id", F.explode(F.array(key("a"), key("b"))).alias("key"), "allowed")
-        stuck = ends.groupBy("project_id", "key").agg(F.max(F.col("allowed").cast("int")).alias("any")).where("any = 0")
-        for side in "ab":
-            freed = stuck.select("project_id", F.col("key").alias("_key"), F.lit(True).alias("_freed"))
-            pairs = pairs.withColumn("_key", key(side)).join(freed, ["project_id", "_key"], "left")
-            pairs = pairs.withColumn("allowed", F.col("allowed") | F.coalesce("_freed", F.lit(False))).drop("_key", "_freed")
-    return pairs
+    return every.select("project_id", F.inline(F.transform("_all", judged)))
 
 
 def screen_pair(opts: GateOptions | None = None) -> Column:
@@ -79,11 +92,10 @@ def screen_pair(opts: GateOptions | None = None) -> Column:
 def screen(clips: DataFrame, opts: GateOptions | None = None) -> DataFrame:
     """All pairs with ``skipped``: same-device, recording-time, or null where they are to be compared. None is dropped."""
     opts = opts or GateOptions()
-    pairs = all_pairs(clips)
     if opts.by_recording_time:
-        pairs = rescue(pairs.withColumn("allowed", could_meet(opts.slop)))
+        pairs = all_pairs(rescue(clips, opts.slop), ("freed",)).withColumn("allowed", could_meet(opts.slop) | F.col("a_freed") | F.col("b_freed")).drop("a_freed", "b_freed")
     else:
-        pairs = pairs.withColumn("allowed", F.lit(True))
+        pairs = all_pairs(clips).withColumn("allowed", F.lit(True))
     device = F.lit(False) if opts.allow_same_device else same_device()
     return pairs.withColumn("skipped", F.when(device, "same-device").when(~F.col("allowed"), "recording-time"))
 
