@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-import pandas as pd
+from bisect import bisect_left
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -17,11 +20,30 @@ def _free(lane: list[Span], span: Span) -> bool:
     return all(span[0] >= to or frm >= span[1] for frm, to in lane)
 
 
+def _plain(spans: list[Span]) -> bool:
+    """Every span has a length above zero, so that what overlaps is told by neighbours in a lane; false for NaN."""
+    return all(frm < to for frm, to in spans)
+
+
 def first_fit(spans: list[Span]) -> list[int]:
     """For each span, in order of start, the first run in which it covers nothing."""
-    runs: list[list[Span]] = []
+    order = sorted(range(len(spans)), key=lambda k: spans[k][0])
     out = [0] * len(spans)
-    for k in sorted(range(len(spans)), key=lambda k: spans[k][0]):
+    if _plain(spans):
+        ends: list[float] = []  # of each run's last span; spans come in order, so the others end before
+        for k in order:
+            start, end = spans[k]
+            for at, last in enumerate(ends):
+                if last <= start:
+                    ends[at] = end
+                    break
+            else:
+                at = len(ends)
+                ends.append(end)
+            out[k] = at
+        return out
+    runs: list[list[Span]] = []
+    for k in order:
         at = next((i for i, run in enumerate(runs) if _free(run, spans[k])), len(runs))
         if at == len(runs):
             runs.append([])
@@ -30,55 +52,125 @@ def first_fit(spans: list[Span]) -> list[int]:
     return out
 
 
+def _room(lane: list[Span], spans: list[Span]) -> bool:
+    """Whether plain spans cover nothing of a lane that is in order."""
+    for frm, to in spans:
+        k = bisect_left(lane, (to,))
+        if k and lane[k - 1][1] > frm:
+            return False
+    return True
+
+
 def pack(runs: list[tuple[list[Span], int]], budget: int) -> tuple[list[int], bool]:
-    """Lanes of runs (spans, cost): each opens a lane while the budget lasts, then shares the first one with room. Returns lanes, and whether the budget was exceeded."""
+    """Lanes of runs (spans, cost; no two spans of a run overlap): each opens a lane while the budget lasts, then shares the first one with room. Returns lanes, and whether the budget was exceeded."""
     lanes: list[list[Span]] = []
     out, spent, over = [], 0, False
+    plain = all(_plain(spans) for spans, _ in runs)
     for spans, cost in runs:
         room = spent + cost <= budget
-        at = None if room else next((i for i, lane in enumerate(lanes) if all(_free(lane, s) for s in spans)), None)
+        at = None if room else next((i for i, lane in enumerate(lanes) if (_room(lane, spans) if plain else all(_free(lane, s) for s in spans))), None)
         if at is None:
             over |= not room
             at = len(lanes)
             lanes.append([])
             spent += cost
         lanes[at] += spans
+        if plain:
+            lanes[at].sort()
         out.append(at)
     return out, over
 
 
+def project_lanes(devices: list, starts: list[float], durations: list[float], video: list, audio: list, channels: list[int], limits: TrackLimits) -> tuple[list[int | None], list[int | None]]:
+    """Numbers of the lanes of pictures and of sounds for a project's clips in the order of their ids; None without one."""
+    members: dict = {}
+    for k, d in enumerate(devices):
+        if d is not None:
+            members.setdefault(d, []).append(k)
+    spans = [(frm, frm + size) for frm, size in zip(starts, durations)]
+
+    def rank(own: list[int]) -> tuple[bool, bool, float]:
+        known = [starts[k] for k in own if starts[k] == starts[k]]
+        return not any(video[k] for k in own), not known, min(known, default=0.0)
+
+    out = []
+    order = sorted(members.values(), key=rank)
+    for kind, budget, wide in ((video, limits.video, False), (audio, limits.audio, True)):
+        lanes: list[int | None] = [None] * len(devices)
+        runs, clips = [], []
+        for every in order:
+            own = [k for k in every if kind[k]]
+            if not own:
+                continue
+            at = first_fit([spans[k] for k in own])
+            cost = max(1, max(channels[k] for k in every)) if wide else 1
+            for r in range(max(at) + 1):
+                held = [k for k, a in zip(own, at) if a == r]
+                clips.append(held)
+                runs.append(([spans[k] for k in held], cost))
+        for lane, held in zip(pack(runs, budget)[0], clips):
+            for k in held:
+                lanes[k] = lane
+        out.append(lanes)
+    return out[0], out[1]
+
+
 _LANES = "project_id string, id string, video_track_id string, audio_track_id string"
 
 
+def _lane_batches(limits: TrackLimits, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows in the order of project_id and id to their lanes; the last project of a batch waits for the next batch."""
+
+    def told(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        table = pa.Table.from_batches(held).combine_chunks()
+        projects, _, device, start, duration, video, audio, channels = (c.to_pylist() for c in table.columns)
+        nan = float("nan")
+        start, duration = [nan if x is None else x for x in start], [nan if x is None else x for x in duration]
+        channels = [2 if x is None else x for x in channels]
+        pictures, sounds, k = [], [], 0
+        while k < len(projects):
+            e = k + 1
+            while e < len(projects) and projects[e] == projects[k]:
+                e += 1
+            v, a = project_lanes(device[k:e], start[k:e], duration[k:e], video[k:e], audio[k:e], channels[k:e], limits)
+            pictures += v
+            sounds += a
+            k = e
+        names = lambda letter, lanes: pa.array([f"{letter}{n:03d}" for n in range(max((n for n in lanes if n is not None), default=-1) + 1)], pa.string()).take(pa.array(lanes, pa.int32()))
+        whole = lambda k: table.column(k).combine_chunks() if table.column(k).num_chunks != 1 else table.column(k).chunk(0)
+        return pa.RecordBatch.from_arrays([whole(0), whole(1), names("V", pictures), names("A", sounds)], ["project_id", "id", "video_track_id", "audio_track_id"])
+
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        projects = batch.column(0).to_pylist()
+        if held and held[-1].column(0)[-1].as_py() != projects[0]:
+            yield told(held)
+            held = []
+        k = len(projects)
+        while k and projects[k - 1] == projects[-1]:
+            k -= 1
+        if k:
+            yield told([*held, batch.slice(0, k)])
+            held = []
+        held.append(batch.slice(k))
+    if held:
+        yield told(held)
+
+
 def assign_lanes(clips: DataFrame, limits: TrackLimits | None = None) -> DataFrame:
     """(project_id, id, video_track_id, audio_track_id): devices with a picture first, then by start; pictures and sounds are packed apart.
 
-    Clips: project_id, id, device, start, duration, video, audio, channels. One
-    task a project: first fit goes by order.
+    Clips: project_id, id, device, start, duration, video, audio, channels.
+    First fit goes by order, so that a project is one task's; a task takes
+    many projects one after the other, without a call for each.
     """
     limits = limits or TrackLimits()
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("id", kind="stable").reset_index(drop=True)
-        channels = pdf.channels.fillna(2).astype(int)
-        devices = pdf.assign(ch=channels).groupby("device", sort=False).agg(audio_only=("video", lambda v: not v.any()), start=("start", "min"), ch=("ch", lambda c: max(1, c.max())))
-        devices = devices.sort_values(["audio_only", "start"], kind="stable")
-        out = {"video": [None] * len(pdf), "audio": [None] * len(pdf)}
-        for kind, budget, letter in (("video", limits.video, "V"), ("audio", limits.audio, "A")):
-            runs, members = [], []
-            for name, d in devices.iterrows():
-                own = pdf.index[(pdf.device == name) & pdf[kind]].tolist()
-                spans = [(pdf.start[k], pdf.start[k] + pdf.duration[k]) for k in own]
-                at = first_fit(spans)
-                for r in range(max(at, default=-1) + 1):
-                    members.append([k for k, a in zip(own, at) if a == r])
-                    runs.append(([s for s, a in zip(spans, at) if a == r], 1 if kind == "video" else int(d.ch)))
-            for lane, ks in zip(pack(runs, budget)[0], members):
-                for k in ks:
-                    out[kind][k] = f"{letter}{lane:03d}"
-        return pd.DataFrame({"project_id": pdf.project_id, "id": pdf.id, "video_track_id": out["video"], "audio_track_id": out["audio"]})
-
-    return clips.groupBy("project_id").applyInPandas(run, _LANES)
+    kinds = (("project_id", "string"), ("id", "string"), ("device", "string"), ("start", "double"), ("duration", "double"), ("video", "boolean"), ("audio", "boolean"), ("channels", "int"))
+    rows = clips.select(*[F.col(c).cast(t).alias(c) for c, t in kinds])
+    dealt = rows.repartition("project_id").sortWithinPartitions("project_id", F.asc_nulls_last("id"))
+    return dealt.mapInArrow(lambda b: _lane_batches(limits, b), _LANES)
 
 
 def track_order(clips: DataFrame, track: str) -> DataFrame:

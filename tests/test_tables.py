@@ -178,3 +178,51 @@ def test_lanes_hold_no_overlaps(spark):
     for spans in lane.values():
         spans.sort()
         assert all(a[1] <= b[0] for a, b in zip(spans, spans[1:]))
+
+
+def test_lanes_as_by_first_fit_over_all_spans(spark):
+    """Lanes of many projects, as first fit over every span gives them; some spans are empty, some rows lack a device or a kind, and projects cross batches. No call is made for each project."""
+    import numpy as np
+
+    rng = np.random.default_rng(9)
+    rows = []
+    for p in range(40):
+        for k in range(int(rng.integers(1, 50))):
+            size = 0.0 if p % 5 == 0 and rng.random() < 0.3 else float(rng.integers(1, 15))
+            rows.append((f"p{p}", f"c{k:02d}", None if rng.random() < 0.05 else f"d{rng.integers(7)}", float(rng.integers(40)), size, bool(rng.random() < 0.6), bool(rng.random() < 0.9), None if rng.random() < 0.1 else int(rng.integers(1, 3))))
+    free = lambda lane, s: all(s[0] >= t or f >= s[1] for f, t in lane)
+
+    def first(lists, spans):
+        return next((i for i, lane in enumerate(lists) if all(free(lane, s) for s in spans)), None)
+
+    want = {}
+    for p in {r[0] for r in rows}:
+        own = sorted((r for r in rows if r[0] == p), key=lambda r: r[1])
+        names = list(dict.fromkeys(r[2] for r in own if r[2]))
+        names.sort(key=lambda d: (not any(r[5] for r in own if r[2] == d), min(r[3] for r in own if r[2] == d)))
+        for letter, kind, budget in (("V", 5, 4), ("A", 6, 10)):
+            lists, spent = [], 0
+            for d in names:
+                cost = 1 if kind == 5 else max(2 if r[7] is None else r[7] for r in own if r[2] == d)
+                runs = []
+                for r in sorted((r for r in own if r[2] == d and r[kind]), key=lambda r: r[3]):
+                    at = first([[(x[3], x[3] + x[4]) for x in run] for run in runs], [(r[3], r[3] + r[4])])
+                    runs.append([r]) if at is None else runs[at].append(r)
+                for run in runs:
+                    spans = [(r[3], r[3] + r[4]) for r in run]
+                    at = None if spent + cost <= budget else first(lists, spans)
+                    if at is None:
+                        at, spent = len(lists), spent + cost
+                        lists.append([])
+                    lists[at] += spans
+                    want |= {(p, r[1], letter): f"{letter}{at:03d}" for r in run}
+    df = spark.createDataFrame(rows, "project_id string, id string, device string, start double, duration double, video boolean, audio boolean, channels int")
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "17")
+    try:
+        found = lanes.assign_lanes(df)
+        got = {(r.project_id, r.id): (r.video_track_id, r.audio_track_id) for r in found.collect()}
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert got == {(r[0], r[1]): (want.get((r[0], r[1], "V")), want.get((r[0], r[1], "A"))) for r in rows}
+    assert "FlatMapGroups" not in found._jdf.queryExecution().executedPlan().toString()
