@@ -57,7 +57,7 @@ def _mixed(hashes: np.ndarray, word: int) -> np.ndarray:
 
 def simhash(lists: list[np.ndarray], words: int = 1) -> np.ndarray:
     """Fingerprints of ``words`` times 64 bits, a row for each list: a bit is 1 if it is set in over half the hashes; zero without hashes."""
-    sizes = np.array([len(x) for x in lists])
+    sizes = np.array([len(x) for x in lists], np.int64)  # without lists it would be of floats
     counts = np.zeros((words, len(lists), 64), np.int64)
     flat = np.concatenate(lists) if lists else np.empty(0, np.uint64)
     owner = np.repeat(np.arange(len(lists)), sizes)

@@ -504,3 +504,15 @@ def test_clashing_labels_and_items(make, spark):
     item = spark.createDataFrame([(1, docs.where("doc_id = 4").first().text)], "item_id long, text string")
     wide = item.withColumns({c: F.lit("x") for c in ("doc_id", "n", "hs", "fp", "k", "ws", "start", "of")})
     assert benchmark_passages(docs, item).collect() == benchmark_passages(docs, wide).collect() != []
+
+
+def test_fingerprints_of_a_batch_that_ends_with_a_full_block():
+    """A batch whose last text fills a block leaves no text over, which is no error."""
+    import pyarrow as pa
+
+    from chronoweave.llm.fingerprint import BLOCK, fingerprint_batches
+
+    long = " ".join(f"w{i}" for i in range(BLOCK + 2))
+    batch = pa.RecordBatch.from_arrays([pa.array([1, 2]), pa.array(["a b c d", long])], ["doc_id", "text"])
+    (found,) = fingerprint_batches([batch], 3, 42)
+    assert found.column(0).to_pylist() == [1, 2] and [x % (1 << 64) for x in found.column(1).to_pylist()] == [fingerprint(t) for t in ("a b c d", long)]
