@@ -516,3 +516,16 @@ def test_fingerprints_of_a_batch_that_ends_with_a_full_block():
     batch = pa.RecordBatch.from_arrays([pa.array([1, 2]), pa.array(["a b c d", long])], ["doc_id", "text"])
     (found,) = fingerprint_batches([batch], 3, 42)
     assert found.column(0).to_pylist() == [1, 2] and [x % (1 << 64) for x in found.column(1).to_pylist()] == [fingerprint(t) for t in ("a b c d", long)]
+
+
+def test_sets_of_a_batch_that_ends_with_a_full_block():
+    """As for fingerprints, where near-dedup hashes the sets of shingles."""
+    import pyarrow as pa
+
+    from chronoweave.llm.fingerprint import BLOCK
+    from chronoweave.llm.near_dedup import WORDS, _class_batches
+
+    long = " ".join(f"w{i}" for i in range(BLOCK + 4))
+    batch = pa.RecordBatch.from_arrays([pa.array([1, 2]), pa.array(["a b c d e f", long])], ["doc_id", "text"])
+    (found,) = _class_batches(5, [batch])
+    assert found.column("size").to_pylist() == [2, BLOCK] and found.num_columns == 3 + WORDS
