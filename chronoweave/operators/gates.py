@@ -12,9 +12,14 @@ from ..options import GateOptions
 _META = ("clip_index", "clip_id", "track_id", "duration_seconds", "trusted_at")
 
 
+def _meta(clips: DataFrame) -> list[str]:
+    """Clips that need no names, as they are only counted, may come without clip_id."""
+    return [c for c in _META if c != "clip_id" or c in clips.columns]
+
+
 def all_pairs(clips: DataFrame, more: tuple[str, ...] = ()) -> DataFrame:
     """Every pair i < j of a project, by metadata alone: columns of both sides with a_ and b_ before their names, ``more`` among them."""
-    one = lambda p: clips.select("project_id", *[F.col(c).alias(f"{p}_{c}") for c in (*_META, *more)])
+    one = lambda p: clips.select("project_id", *[F.col(c).alias(f"{p}_{c}") for c in (*_meta(clips), *more)])
     return one("a").join(one("b"), "project_id").where("a_clip_index < b_clip_index")
 
 
@@ -68,15 +73,16 @@ def rescue(clips: DataFrame, slop: float) -> DataFrame:
     that could meet, so that no table of pairs is moved. Rows stay dealt by
     project_id.
     """
-    rows = clips.where("project_id IS NOT NULL").select("project_id", *_META).repartition("project_id")
-    every = rows.groupBy("project_id").agg(F.collect_list(F.struct(*_META)).alias("_all"))
+    meta = _meta(clips)
+    rows = clips.where("project_id IS NOT NULL").select("project_id", *meta).repartition("project_id")
+    every = rows.groupBy("project_id").agg(F.collect_list(F.struct(*meta)).alias("_all"))
 
     def judged(x: Column) -> Column:
         mine = lambda c: x[c]
         other = lambda y: (mine("clip_index") != y["clip_index"]) & ~same_device(mine, lambda c: y[c])
         met = F.exists("_all", lambda y: other(y) & could_meet(slop, mine, lambda c: y[c]))
         freed = ~F.coalesce(met, F.lit(False)) & F.coalesce(F.exists("_all", other), F.lit(False))
-        return F.struct(*[x[c].alias(c) for c in _META], freed.alias("freed"))
+        return F.struct(*[x[c].alias(c) for c in meta], freed.alias("freed"))
 
     return every.select("project_id", F.inline(F.transform("_all", judged)))
 

@@ -54,12 +54,21 @@ def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "lineitem").withColumn("line", F.row_number().over(order))
 
 
-def recordings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lines of orders as clips without signal: a part is a project, its supplier the device, and seven years are pressed into times that meet. ``recorded_at`` is there for all, trusted or not."""
+def recordings(spark: SparkSession, sf_dir: str, named: bool = True) -> DataFrame:
+    """Lines of orders as clips without signal: a part is a project, its supplier the device, and seven years are pressed into times that meet. ``recorded_at`` is there for all, trusted or not.
+
+    Without names there is no clip_id, and clip_index is some number of each
+    clip of an order, so that the lines of an order need not be brought together.
+    """
     at = F.unix_timestamp("l_shipdate") / 5000.0
-    return lines(spark, sf_dir).select(
-        F.col("l_partkey").cast("string").alias("project_id"), (F.col("l_orderkey") * 100 + F.col("line")).alias("clip_index"),
-        F.concat_ws("-", F.col("l_orderkey").cast("string"), F.col("line").cast("string")).alias("clip_id"), F.col("l_suppkey").cast("string").alias("track_id"),
+    if named:
+        rows = lines(spark, sf_dir)
+        names = [(F.col("l_orderkey") * 100 + F.col("line")).alias("clip_index"), F.concat_ws("-", F.col("l_orderkey").cast("string"), F.col("line").cast("string")).alias("clip_id")]
+    else:
+        rows = table(spark, sf_dir, "lineitem")
+        names = [F.when(F.col("l_orderkey").isNotNull(), F.monotonically_increasing_id()).alias("clip_index")]
+    return rows.select(
+        F.col("l_partkey").cast("string").alias("project_id"), *names, F.col("l_suppkey").cast("string").alias("track_id"),
         (F.col("l_quantity") * 60.0).alias("duration_seconds"), at.alias("recorded_at"), F.when(F.col("l_returnflag") != "N", at).alias("trusted_at"),
     )
 
