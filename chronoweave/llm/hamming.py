@@ -310,7 +310,7 @@ def similar_groups(rows: DataFrame, near: Near, write: Writer, verify: Callable[
     steps = [lambda s, k=k: search.stars(s, k) for k in range(STARS)]
     for step in [*steps, search.pairs]:
         pairs = step(state)
-        links = write((verify(pairs) if verify else pairs).select("ru", "rv"), "links")
+        links = (verify(pairs) if verify else pairs).select("ru", "rv")
         joined = components(links.select(F.col("ru").alias("u"), F.col("rv").alias("v")), write).select(F.col("vertex").alias("root"), F.col("root").alias("to"))
         state = write(state.join(joined, "root", "left").select("key", "fp", "size", *near.wide, F.coalesce("to", "root").alias("root"), "bucket"), "rows")
     return state.select("key", "root")

@@ -139,6 +139,22 @@ def test_components(spark):
     assert components(spark.createDataFrame([], "u long, v long")).count() == 0
 
 
+def test_few_edges_need_no_rounds(spark, monkeypatch):
+    links = [(k, k + 1) for k in range(-60, 60)] + [(300, 200), (400, 300), (7, 7)]
+    written = []
+
+    def write(df, name):
+        written.append(name)
+        return df.localCheckpoint()
+
+    edges = spark.createDataFrame(links, "u long, v long").repartition(5)
+    got = {tuple(r) for r in components(edges, write).collect()}
+    assert got == {(k, -60) for k in range(-60, 61)} | {(k, 200) for k in (200, 300, 400)}
+    assert written == ["edges"]  # each write is a job, with files and folders of its own
+    monkeypatch.setattr("chronoweave.llm.components.ONE_TASK_EDGES", 0)
+    assert {tuple(r) for r in components(edges, write).collect()} == got and len(written) > 3
+
+
 def test_near_dedup(make, odd):
     text = prose(300, 1)
     near = text.replace(" ", " zz ", 1)
