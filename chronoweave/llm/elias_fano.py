@@ -22,7 +22,7 @@ class BitVector:
     """Bits with select for ones and for zeros."""
 
     def __init__(self, data: np.ndarray, ranks: np.ndarray):
-        self.data, self.ranks = data, ranks
+        self.data, self.ranks, self._zeros = data, ranks, None
 
     @classmethod
     def build(cls, ones: np.ndarray, size: int) -> BitVector:
@@ -36,7 +36,9 @@ class BitVector:
 
     def select(self, k: np.ndarray, one: bool) -> np.ndarray:
         """The place of the k-th one or zero, counted from 0."""
-        ranks = np.asarray(self.ranks) if one else np.arange(len(self.ranks)) * BLOCK - self.ranks
+        if not one and self._zeros is None:
+            self._zeros = np.arange(len(self.ranks)) * BLOCK - self.ranks
+        ranks = self.ranks if one else self._zeros
         block = np.searchsorted(ranks, k, side="right") - 1
         left = k - ranks[block]
         flip = np.uint64(0 if one else 0xFFFFFFFFFFFFFFFF)
@@ -76,16 +78,21 @@ class EliasFano:
             part = values[i : i + (1 << 16)]
             bits = (part[:, None] >> np.arange(low_bits)) & 1 if low_bits else np.zeros((len(part), 0), np.int64)
             parts.append(np.packbits(bits.astype(np.uint8).reshape(-1), bitorder="little"))
-        low = np.concatenate([*parts, np.zeros(8, np.uint8)])
+        size = sum(map(len, parts))
+        low = np.concatenate([*parts, np.zeros(8 + -size % 8, np.uint8)])  # whole words, and one more
         buckets = (universe >> low_bits) + 1
         return cls(n, low_bits, low, BitVector.build((values >> low_bits) + np.arange(n), n + buckets))
 
     def _lows(self, i: np.ndarray) -> np.ndarray:
         if not self.low_bits:
             return np.zeros(len(i), np.int64)
-        bit = i * self.low_bits
-        eight = self.low[(bit >> 3)[:, None] + np.arange(8)].view("<u8").reshape(-1)
-        return ((eight >> (bit & 7).astype(np.uint64)) & np.uint64((1 << self.low_bits) - 1)).astype(np.int64)
+        words, bit = self.low.view("<u8"), i * self.low_bits
+        at, shift = bit >> 6, (bit & 63).view(np.uint64)
+        got = words[at] >> shift
+        at += 1
+        got |= (words[at] << np.uint64(1)) << (np.uint64(63) - shift)
+        got &= np.uint64((1 << self.low_bits) - 1)
+        return got.view(np.int64)
 
     def access(self, i: np.ndarray) -> np.ndarray:
         """The i-th values."""
@@ -145,7 +152,8 @@ def pack(arrays: dict[str, np.ndarray], sequences: dict[str, EliasFano], extra:
 
 
 def unpack(data: np.ndarray) -> tuple[dict[str, np.ndarray], dict[str, EliasFano], dict]:
-    """Views on a file that is memory-mapped as bytes; nothing is copied."""
+    """Views on a file that is memory-mapped as bytes; nothing is copied. They are plain arrays, as each index of a memmap runs Python code."""
+    data = data.view(np.ndarray)
     size = 1 << 12
     while (end := bytes(data[:size]).find(b"\n")) < 0:
         size *= 2

@@ -190,7 +190,8 @@ def _in_shard(hashes: np.ndarray, shards: int) -> np.ndarray:
 
 def _successors(pointers: EliasFano, numbers: EliasFano, context: np.ndarray, relative: np.ndarray) -> np.ndarray:
     """Places of numbers among the successors of their contexts (-1: not there); contexts are in order."""
-    local, back = np.unique(context, return_inverse=True)
+    first = np.r_[True, context[1:] != context[:-1]] if len(context) else np.zeros(0, bool)
+    local, back = context[first], np.cumsum(first) - 1
     begin, end = pointers.access(local), pointers.access(local + 1)
     base, last = np.zeros(len(local), np.int64), np.zeros(len(local), np.int64)
     some, full = begin > 0, end > begin

@@ -107,6 +107,20 @@ def roots(items, links):
     return {x: find(x) for x in items}
 
 
+def test_elias_fano_reads_whole_words(tmp_path):
+    from chronoweave.llm.elias_fano import EliasFano, pack, unpack
+
+    rng = np.random.default_rng(5)
+    for bits in (0, 1, 7, 13, 31, 47, 62):
+        values = np.sort(rng.integers(0, 1 << bits, 70))
+        (tmp_path / "f").write_bytes(pack({"a": values}, {"s": EliasFano.build(values, 1 << bits)}, {}))
+        arrays, sequences, _ = unpack(np.memmap(tmp_path / "f", np.uint8, mode="r"))
+        got = sequences["s"]
+        assert len(got.low) % 8 == 0  # two words hold any value, where eight single bytes were gathered
+        assert type(arrays["a"]) is type(got.low) is type(got.high.ranks) is np.ndarray  # indexing a memmap runs Python code each time
+        assert got.access(np.arange(70)).tolist() == values.tolist() and got.contains(values)[1].all()
+
+
 def test_simhash(make, odd):
     docs = make([(100 + i, prose(50, i // 3) + (" end" if i % 3 else "")) for i in range(60)]).union(odd)
     got = simhash_components(docs).collect()
