@@ -125,9 +125,9 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8,
     square, and no table of pairs or sets outlives the call.
     """
     named = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    rows = persisted(named.mapInArrow(lambda b: _class_batches(shingle, b), "doc_id long, key long, size int, fp long, " + ", ".join(f"{c} long" for c in _WIDE)), "keys")
+    rows = persisted(named.mapInArrow(lambda b: _class_batches(shingle, b), "doc_id long, key long, size int, fp long, " + ", ".join(f"{c} long" for c in _WIDE)), "keys", by_tasks=True)
     least = math.ceil(similarity / (1 - similarity) - 1e-9) if similarity < 1 else 1 << 30  # smaller sets are like none but themselves
-    with scratch(docs.sparkSession, "near-dedup") as write:
+    with scratch(docs.sparkSession, "near-dedup", by_tasks=True) as write:
         classes = write(rows.groupBy("key").agg(F.min("doc_id").alias("first_id"), *[F.first(c).alias(c) for c in ("size", "fp", *_WIDE)]), "classes")
 
         def verify(pairs: DataFrame) -> DataFrame:
@@ -141,7 +141,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8,
         groups = similar_groups(classes.where(F.col("size") >= least), Near(radius, similarity, _WIDE, WIDE_RADIUS), write, verify)
         known = write(classes.join(groups, "key", "left").select("key", "first_id", F.coalesce("root", "key").alias("root")), "known")
         reps = write(known.groupBy("root").agg(F.min(F.struct(F.col("first_id").isNull(), F.col("first_id"), F.col("key"))).alias("_rep")), "reps")
-        known = persisted(known.join(reps, "root").select("key", "root", F.col("_rep.first_id").alias("component_id"), F.col("_rep.key").alias("rep_key")), "known")
+        known = persisted(known.join(reps, "root").select("key", "root", F.col("_rep.first_id").alias("component_id"), F.col("_rep.key").alias("rep_key")), "known", by_tasks=True)
     return rows.select("doc_id", "key").join(known, "key").select("doc_id", "key", "root", "component_id", "rep_key")
 
 
@@ -161,10 +161,10 @@ def drop_near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float =
     with texts in two groups may stay once in each. Wordless texts are one
     group.
     """
-    classes = persisted(near_duplicates(docs, shingle, similarity, radius), "classes")
-    several = persisted(classes.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1 OR doc_id IS NULL").select("doc_id"), "several")
+    classes = persisted(near_duplicates(docs, shingle, similarity, radius), "classes", by_tasks=True)
+    several = persisted(classes.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1 OR doc_id IS NULL").select("doc_id"), "several", by_tasks=True)
     stays = "doc_id <=> component_id AND key = rep_key"
-    dropped = _small(persisted(classes.where(f"NOT ({stays})").select("doc_id").distinct().where("doc_id IS NOT NULL"), "dropped"))
+    dropped = _small(persisted(classes.where(f"NOT ({stays})").select("doc_id").distinct().where("doc_id IS NOT NULL"), "dropped", by_tasks=True))
     if several.isEmpty():
         return docs.join(dropped, "doc_id", "left_anti").select(docs.columns)
     repeated = _small(several.where("doc_id IS NOT NULL"))
@@ -176,4 +176,4 @@ def drop_near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float =
     keys = others.select("_row", "doc_id", "text").mapInArrow(lambda b: _key_batches(shingle, b), "_row long, doc_id long, key long")
     reps = classes.where(stays).select(F.col("doc_id").alias("_id"), F.col("key").alias("_key")).distinct()
     first = keys.join(reps, F.expr("doc_id <=> _id AND key = _key")).groupBy("_id", "_key").agg(F.min("_row").alias("_row")).select("_row")
-    return once.union(others.join(_small(persisted(first, "rows")), "_row", "left_semi").dropDuplicates(["_row"]).select("_all.*"))
+    return once.union(others.join(_small(persisted(first, "rows", by_tasks=True)), "_row", "left_semi").dropDuplicates(["_row"]).select("_all.*"))

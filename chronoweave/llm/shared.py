@@ -7,10 +7,15 @@ import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
+import pyarrow as pa
+import pyarrow.fs
+import pyarrow.parquet as pq
 from pyspark.sql import DataFrame, SparkSession
 
 #: Writes a table under a name and gives it back as read from storage.
 Writer = Callable[[DataFrame, str], DataFrame]
+#: Bytes of rows that a task gathers for a row group of a file that it writes itself.
+GROUP_BYTES = 1 << 24
 
 
 def shared_dir(spark: SparkSession, name: str) -> str:
@@ -37,21 +42,71 @@ def _written(df: DataFrame, path: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def persisted(df: DataFrame, name: str) -> DataFrame:
+def _tables(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    held, size = [], 0
+    for batch in batches:
+        if batch.num_rows:
+            held.append(batch)
+            size += batch.nbytes
+        if size >= GROUP_BYTES:
+            yield pa.Table.from_batches(held)
+            held, size = [], 0
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _file_batches(folder: str, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """All rows to one Parquet file under a hidden name of its own, which is told; no file without rows."""
+    fs, inner = pyarrow.fs.FileSystem.from_uri("/" + folder[5:].lstrip("/") if folder.startswith("file:") else folder)
+    name, sink, writer = f"_{uuid.uuid4().hex}", None, None
+    for table in _tables(batches):
+        if writer is None:
+            fs.create_dir(inner, recursive=True)
+            sink = fs.open_output_stream(f"{inner}/{name}")
+            writer = pq.ParquetWriter(sink, table.schema)
+        writer.write_table(table)
+    if writer is not None:
+        writer.close()
+        sink.close()
+        yield pa.RecordBatch.from_arrays([pa.array([name])], ["name"])
+
+
+def _written_by_tasks(df: DataFrame, path: str) -> DataFrame:
+    """As :func:`_written`, by files that Python tasks write through pyarrow.
+
+    Hadoop's local file system starts four processes for each file (``chmod``
+    of it and of its checksums), and until such a child is another program it
+    has the memory of its executor, which then seems to take twice its own.
+    Files are hidden until the driver renames those that successful tasks
+    have told; those of failed attempts stay hidden.
+    """
+    spark = df.sparkSession
+    told = df.mapInArrow(lambda b: _file_batches(path, b), "name string").collect()  # a row for each file
+    at = spark._jvm.org.apache.hadoop.fs.Path
+    fs = at(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    fs.mkdirs(at(path))
+    for row in told:
+        if not fs.rename(at(f"{path}/{row['name']}"), at(f"{path}/part{row['name']}.parquet")):
+            raise OSError(f"{path}/{row['name']} can't be renamed")
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def persisted(df: DataFrame, name: str, by_tasks: bool = False) -> DataFrame:
     """``df`` written as Parquet to the shared folder and read back.
 
     Cuts lineage, and survives the loss of executors. The table stays, as
-    what is built on it is read later.
+    what is built on it is read later. With ``by_tasks`` no process is started
+    for a file, but rows pass through Python: for many small tables.
     """
-    return _written(df, shared_dir(df.sparkSession, name))
+    return (_written_by_tasks if by_tasks else _written)(df, shared_dir(df.sparkSession, name))
 
 
 @contextmanager
-def scratch(spark: SparkSession, name: str) -> Iterator[Writer]:
+def scratch(spark: SparkSession, name: str, by_tasks: bool = False) -> Iterator[Writer]:
     """A writer like :func:`persisted` whose tables go when the block ends; what outlives the block must not read them."""
-    folder = shared_dir(spark, name)
+    folder, write = shared_dir(spark, name), _written_by_tasks if by_tasks else _written
     try:
-        yield lambda df, table: _written(df, f"{folder}/{table}-{uuid.uuid4().hex}")
+        yield lambda df, table: write(df, f"{folder}/{table}-{uuid.uuid4().hex}")
     finally:
         drop_dir(spark, folder)
 
