@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from .fingerprint import BLOCK, fingerprint_batches, shingle_hashes, simhash
 from .hamming import Near, similar_groups
-from .shared import Writer, persisted, scratch
+from .shared import Writer, persisted, persisted_map, scratch
 
 #: Bits within which the fingerprints of two texts are candidates. Sets that are 0.8 alike differ in 9.7 bits of 64 on average, with a deviation of 2.9: about 19 of 20 such pairs are within 14 bits, and nearly all that are more alike.
 RADIUS = 14
@@ -125,7 +125,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8,
     square, and no table of pairs or sets outlives the call.
     """
     named = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    rows = persisted(named.mapInArrow(lambda b: _class_batches(shingle, b), "doc_id long, key long, size int, fp long, " + ", ".join(f"{c} long" for c in _WIDE)), "keys", by_tasks=True)
+    rows = persisted_map(named, lambda b: _class_batches(shingle, b), "doc_id long, key long, size int, fp long, " + ", ".join(f"{c} long" for c in _WIDE), "keys")
     least = math.ceil(similarity / (1 - similarity) - 1e-9) if similarity < 1 else 1 << 30  # smaller sets are like none but themselves
     with scratch(docs.sparkSession, "near-dedup", by_tasks=True) as write:
         classes = write(rows.groupBy("key").agg(F.min("doc_id").alias("first_id"), *[F.first(c).alias(c) for c in ("size", "fp", *_WIDE)]), "classes")

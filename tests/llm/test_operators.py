@@ -6,6 +6,7 @@ import math
 import re
 import zlib
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -24,7 +25,7 @@ from chronoweave.llm.mixing import mix_sources, mixed_documents
 from chronoweave.llm.near_dedup import drop_near_duplicates, simhash_components
 from chronoweave.llm.quality_model import estimate_prior, fit_nnpu, fit_quality, keep_quality, score_quality
 from chronoweave.llm.quality_rules import quality_rules
-from chronoweave.llm.shared import shared_dir
+from chronoweave.llm.shared import persisted, persisted_map, shared_dir
 from chronoweave.llm.warc import write_archive
 
 words = lambda t: re.findall(r"[^\x20\x09-\x0D]+", t or "")
@@ -178,6 +179,27 @@ def test_near_dedup(make, odd):
     assert drop_near_duplicates(odd).columns == odd.columns
 
 
+def test_near_dedup_starts_no_processes_for_files(spark, make):
+    """Hadoop's local file system starts some for each file, and leaves a .crc beside it."""
+    root = Path(shared_dir(spark, "x").removeprefix("file:")).parent
+    crc, tables = set(root.rglob("*.crc")), set(root.rglob("*.parquet"))
+    docs = make([(i, prose(60 + i % 5, i // 2)) for i in range(40)])
+    assert drop_near_duplicates(docs).count() < 40
+    assert set(root.rglob("*.parquet")) > tables and set(root.rglob("*.crc")) == crc
+
+
+@pytest.mark.parametrize("scheme", ["file", "viewfs"])
+def test_tables_by_tasks(spark, tmp_path, monkeypatch, scheme):
+    """Spark reads back what tasks have written, also in a store that only Spark knows and for no rows."""
+    spark.sparkContext._jsc.hadoopConfiguration().set("fs.viewfs.mounttable.tasks.link./in", f"file://{tmp_path}")
+    root = {"file": f"file://{tmp_path}/a b", "viewfs": "viewfs://tasks/in"}[scheme]
+    monkeypatch.setattr("chronoweave.llm.shared.shared_dir", lambda s, name: f"{root}/{name}")
+    df = spark.range(900, numPartitions=7).selectExpr("IF(id % 9 = 0, NULL, id) AS id", "array(id, -id) AS a", "struct(id % 2 = 0 AS x, cast(id AS int) AS y) AS s")
+    assert sorted(map(str, persisted(df, "all", by_tasks=True).collect())) == sorted(map(str, df.collect()))
+    assert persisted(df.limit(0), "none", by_tasks=True).collect() == []
+    assert persisted_map(df.select("id"), lambda batches: batches, "id long", "map").agg(F.count("*"), F.sum("id")).first()[:] == df.agg(F.count("*"), F.sum("id")).first()[:]
+
+
 def shingle_set(text):
     ws = (text or "").lower().split()
     return {tuple(ws[i : i + 5]) for i in range(max(1, len(ws) - 4))} if ws else set()
